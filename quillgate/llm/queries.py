@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quillgate.llm import chat, mixing, ngram_join
+from quillgate.llm import chat, exact_dedup, mixing, ngram_join, quality_rules
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE_SQL = {
     "op2_chat_format": chat.OP2_SQL,
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
