@@ -64,13 +64,14 @@ def spans(b: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``b[start:end]`` for ascending spans that don't overlap."""
+def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hashes of ``b[start:end]`` for ascending spans that don't overlap; ``table``
+    has a random number for each value in ``b``."""
     if not len(starts):
         return np.empty(0, np.uint64)
     n = ends - starts
     index = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    value = _BYTE[b[index + np.repeat(starts, n)]] * _powers(int(n.max()))[index]
+    value = table[b[index + np.repeat(starts, n)]] * _powers(int(n.max()))[index]
     h = np.add.reduceat(value, np.cumsum(n) - n)
     return mix64(h + n.astype(np.uint64) * np.uint64(_BASE))
 
