@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillgate.llm import chat, exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity, warc
+from quillgate.llm import chat, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_chat_format": chat.op2_chat_format,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_warc_transactions": warc.op5_warc_transactions,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_toxicity": toxicity.op7_toxicity,
