@@ -65,7 +65,7 @@ def changed_stream(rows: DataFrame, key: str, threshold: float = THRESHOLD) -> D
         own = pd.concat(batches).sort_values("ts")
         out = []
         for bits in own["bits"]:
-            bits = list(bits)
+            bits = [int(x) for x in bits]
             out.append(before is None or sum(x != y for x, y in zip(bits, before)) / max(1, len(bits)) > threshold)
             before = bits
         state.update((before,))
