@@ -47,9 +47,12 @@ class DedupStream:
 
     def advance(self) -> None:
         """Reads on what the inbox has got, in one micro-batch, and stops."""
-        conf, key = self.spark.conf, "spark.sql.streaming.stateStore.providerClass"
-        before = conf.get(key, None)
-        conf.set(key, ROCKSDB)
+        conf = self.spark.conf
+        # executors look this often whether a store's stream has ended, and then free its local files
+        wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.maintenanceInterval": "2s"}
+        before = {k: conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            conf.set(k, v)
         try:
             arrived = self.spark.readStream.schema(self.rows().schema).parquet(self.inbox)
             seen = arrived.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("stays"), F.count(F.lit(1)).alias("rows"))
@@ -61,7 +64,8 @@ class DedupStream:
             query = seen.writeStream.outputMode("update").option("checkpointLocation", self.log).foreachBatch(write).trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            conf.unset(key) if before is None else conf.set(key, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def state(self) -> DataFrame:
         """(digest, id, locator, rows): the state, as the last update of each digest."""
