@@ -136,7 +136,11 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = candidates.groupBy(F.col("first._id").alias("_w"), F.col("first.dh").alias("dh")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2")).alias("wanted"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(wanted, F.col("_id").eqNullSafe(F.col("_w"))).select("_t", "dh", "wanted")
     kinds = "key long, place int, h1 long, h2 long, line int, text string, dh long"
-    variants = materialise(texts.mapInArrow(_variants, kinds).dropDuplicates(["key", "place", "h1", "h2"]).join(candidates, ["h1", "h2"]).select("key", "place", "h1", "h2", "first", "text"), "line-variants")
+    raw = materialise(texts.mapInArrow(_variants, kinds).select("key", "place", "h1", "h2", "text"), "line-variants")
+    # keys of one line alone meet nothing
+    shared = raw.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("key")
+    shared = raw.select("key", "place", "h1", "h2").join(shared, "key", "left_semi").dropDuplicates(["key", "place", "h1", "h2"])
+    variants = materialise(shared.join(candidates, ["h1", "h2"]).select("key", "place", "h1", "h2", "first"), "line-variants-shared")
     # a substitution: the same variant and place; the earliest line of each
     least = variants.where("place >= 0").groupBy("key", "place").agg(F.min(F.struct("first", "h1", "h2")).alias("best"))
     swapped = variants.where("place >= 0").join(least, ["key", "place"]).select("h1", "h2", "first", "best")
@@ -146,7 +150,7 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     inserted = variants.where("place >= 0").join(selves, "key").select("h1", "h2", "first", "best")
     deleted = variants.where("place < 0").join(longer, "key").select("h1", "h2", "first", "best")
     pairs = swapped.union(inserted).union(deleted).where("best.first < first").distinct()
-    of = variants.where("place < 0").select("h1", "h2", "text")
+    of = raw.where("place < 0").select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
     told = pairs.join(of, ["h1", "h2"]).join(of.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("text").alias("other")), (F.col("best.h1") == F.col("b1")) & (F.col("best.h2") == F.col("b2")))
     close = told.where(F.levenshtein("text", "other", 1) == 1).select("h1", "h2").distinct().withColumn("close", F.lit(True))
     verdict = distinct.select("h1", "h2", "first").join(close, ["h1", "h2"], "left")
