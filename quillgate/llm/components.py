@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 
 from quillgate.llm._store import materialise
 
+#: Edges of a partition between the steps of a round.
+EDGES = 100_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     return tuple(r)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return (
         both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    ).distinct()
+    ).coalesce(parts).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     linked = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return linked.union(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", most: int = 60) -> DataFrame:
@@ -42,7 +45,9 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", most:
     for _ in range(most):
         if not mark[0]:
             break
-        e = materialise(_small_star(_large_star(e)), "cc")
+        # few edges are kept in few files, whatever the session's number of partitions
+        parts = mark[0] // EDGES + 1
+        e = materialise(_small_star(_large_star(e, parts), parts).coalesce(parts), "cc")
         new = _mark(e)
         if new == mark:
             break
