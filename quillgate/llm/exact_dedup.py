@@ -50,6 +50,8 @@ class DedupStream:
         conf = self.spark.conf
         # executors look this often whether a store's stream has ended, and then free its local files
         wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.maintenanceInterval": "2s"}
+        # a store would set 4 MB aside for its manifest however small it is: a GB for 250 partitions
+        wanted["spark.sql.streaming.stateStore.rocksdb.allowFAllocate"] = "false"
         before = {k: conf.get(k, None) for k in wanted}
         for k, v in wanted.items():
             conf.set(k, v)
