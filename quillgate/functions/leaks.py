@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgate.functions import patterns as P
 from quillgate.functions.regex import java
-from quillgate.functions.text import empty, findings, let, spans
+from quillgate.functions.text import empty, findings, let
 
 LEAK = "struct<category:string,match:string,confidence:double>"
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94))
@@ -33,8 +33,17 @@ def _leak(category: str | Column, match: Column, confidence: float | Column) ->
     return F.struct(lit(category).alias("category"), match.alias("match"), lit(confidence).alias("confidence"))
 
 
+def matches(text: Column, category: str, pattern: str) -> Column:
+    """array<string> of all matches of a pattern."""
+    return F.when(text.rlike(P.NEEDS[category]), F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))).otherwise(empty("string"))
+
+
+def first(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, java(pattern), 0), F.lit(""))
+
+
 def _each(category: str, found: Column) -> Column:
-    return F.transform(found, lambda s: _leak(category, s["match"], 0.95))
+    return F.transform(found, lambda m: _leak(category, m, 0.95))
 
 
 def _one(category: str, match: Column, confidence: float) -> Column:
@@ -50,9 +59,9 @@ def scan_form(text: Column, most: int | None) -> Column:
     def rules(t: Column) -> Column:
         files = "(?i)" + "|".join(P.FILE_NAMES)
         name = F.when(text.rlike(files) & text.rlike(r"(?i)\." + java(r"\b[a-z0-9]{2,5}\b")) & ~text.rlike("(?i)https?://"), F.left(F.trim(text), F.lit(120)))
-        gate = [_each(c, spans(t, java(p))) for c, p in P.GATE_PATTERNS]
-        cards = _each("creditCard", F.filter(spans(t, java(P.CARD)), lambda s: luhn(s["match"])))
-        key = F.coalesce(*(F.when(F.regexp_extract(t, java(p), 0) != "", F.regexp_extract(t, java(p), 0)) for p in P.API_KEYS))
+        gate = [_each(c, matches(t, c, p)) for c, p in P.GATE_PATTERNS]
+        cards = _each("creditCard", F.filter(matches(t, "creditCard", P.CARD), luhn))
+        key = F.coalesce(*(first(t, p) for p in P.API_KEYS))
         return F.flatten(
             F.array(_one("sensitive_filename", name, 0.85), *gate, kept_findings(t), cards, _one("api_key", key, 0.8), _one("access_token", F.regexp_extract(t, java(P.BEARER), 0), 0.9))
         )

@@ -15,6 +15,9 @@ TEXT_PATTERNS = [
     ("pincode", r"\b[1-9]\d{5}\b", False),
     ("ifsc", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", True),
 ]
+# what every match of a pattern holds, quick to look for; texts without it are passed over
+_DATE, _CARD = r"[0-9][/.\-][01][0-9][/.\-][12]", r"(?:[0-9][ -]*+){13}"
+NEEDS = {"aadhaar": "[0-9]{4}", "pan": "[A-Z]{5}[0-9]{4}", "creditCard": _CARD, "bankAccount": "[0-9]{9}", "email": "@", "phone": "[0-9]{10}", "mobile": "[6-9][0-9]{9}", "dob": _DATE, "otp": "[0-9]{4}", "pincode": "[1-9][0-9]{5}", "ifsc": "[A-Z]{4}0", "upi": "@"}
 CONTEXT_WORDS = {
     "aadhaar": ["aadhaar", "aadhar", "uidai", "unique identification"],
     "pan": ["pan number", "pan card", "permanent account number"],

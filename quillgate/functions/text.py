@@ -59,7 +59,8 @@ def _by_pattern(text: Column, category: str, pattern: str, strong: bool) -> Colu
 
         return let(near(text, s["start"], P.CONTEXT_WORDS.get(category, [])), judged)
 
-    return F.transform(spans(text, java(pattern)), one)
+    found = F.when(text.rlike(P.NEEDS[category]), spans(text, java(pattern))).otherwise(empty("struct<match:string,start:int>"))
+    return F.transform(found, one)
 
 
 def _labeled(text: Column, category: str, pattern: str, confidence: float) -> Column:

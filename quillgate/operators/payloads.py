@@ -46,7 +46,7 @@ def payload_leaks(payloads: DataFrame, id_col: str = "payload_id", json_col: str
             fixed(secret, "sensitive_key", none, 0.9),
             fixed(secret & entropy, "credential_value", none, 1.0),
             fixed(deep, "unverified", none, 1.0),
-            leaks.scan_text(F.col("s")),
+            leaks.scan_text(F.col("s"), None),
         )
     )
     direct = nodes.select("id", "path", F.explode(found).alias("f"))

@@ -13,7 +13,7 @@ from quillgate.functions import patterns as P
 from quillgate.functions.documents import classify, file_evidence, redaction_label, text_evidence
 from quillgate.functions.fields import classify_field
 from quillgate.functions.regex import java, re2, sql
-from quillgate.functions.text import findings, sanitize_text, spans
+from quillgate.functions.text import findings, sanitize_text
 from quillgate.operators import gate, pixels, vault
 from quillgate.operators.payloads import payload_gate, payload_leaks
 from quillgate.plans import fixtures as X
@@ -202,20 +202,21 @@ def _gate_sql(rows: str) -> str:
 
 for _name, _table, _id, _text in (("documents", "documents", "doc_id", "text"), ("pages", "pages", "page_id", "html")):
 
-    def _gated(spark: SparkSession, d: str, t: str = _table, i: str = _id, x: str = _text) -> DataFrame:
-        s = F.left(F.col(x), F.lit(P.SCAN_CHARS))
-        found = [leaks._each(c, spans(s, java(p))) for c, p in P.GATE_PATTERNS]
-        hit = lambda p: F.when(F.regexp_extract(s, java(p), 0) != "", F.regexp_extract(s, java(p), 0))
+    def _gated(spark: SparkSession, d: str, t: str = _table, i: str = _id, x: str = _text, most: int | None = P.SCAN_CHARS) -> DataFrame:
+        s = F.col(x) if most is None else F.left(F.col(x), F.lit(most))
+        found = [leaks._each(c, leaks.matches(s, c, p)) for c, p in P.GATE_PATTERNS]
         one = lambda c, v: leaks._one(c, v, 0.8)
-        own = F.flatten(F.array(*found, one("api_key", F.coalesce(*map(hit, P.API_KEYS))), one("access_token", hit(P.BEARER))))
+        own = F.flatten(F.array(*found, one("api_key", F.coalesce(*(leaks.first(s, p) for p in P.API_KEYS))), one("access_token", leaks.first(s, P.BEARER))))
         return table(spark, d, t).select(F.col(i).alias("id"), F.explode(own).alias("f")).select("id", "f.category", "f.match")
 
     query(f"leak_patterns_{_name}", _gate_sql(f"SELECT {_id} AS id, left({_text}, {P.SCAN_CHARS}) AS t FROM {_table}"))(_gated)
+    # the SQL above fixes a prefix; these two scan texts to their end
+    query(f"leak_patterns_whole_{_name}", _gate_sql(f"SELECT {_id} AS id, {_text} AS t FROM {_table}"))(lambda spark, d, f=_gated: f(spark, d, most=None))
 
 
 @query("leak_scan_documents")
 def leak_scan_documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(leaks.scan_text(F.col("text"))).alias("f")).select("doc_id", "f.*")
+    return table(spark, d, "documents").select("doc_id", F.explode(leaks.scan_text(F.col("text"), None)).alias("f")).select("doc_id", "f.*")
 
 
 _LUHN = "list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 0 THEN CAST(substr(x, i, 1) AS INT) WHEN CAST(substr(x, i, 1) AS INT) * 2 > 9 THEN CAST(substr(x, i, 1) AS INT) * 2 - 9 ELSE CAST(substr(x, i, 1) AS INT) * 2 END)) % 10 = 0"

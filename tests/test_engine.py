@@ -152,3 +152,15 @@ def test_entry_has_rows(spark):
     got = entry.entry(spark)
     assert got.count() == 200 and got.columns[0] == "doc_id"
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_leaks_behind_the_first_512_characters(spark, tmp_path):
+    late = "x " * 400 + "mail a@b.co, key sk-abcdefghijklmnop1234"
+    spark.createDataFrame([(1, late)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, late)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    q = entry.queries()
+    assert {(r.category, r.match) for r in q["leak_scan_documents"](spark, str(tmp_path)).collect()} == {("email", "a@b.co"), ("api_key", "sk-abcdefghijklmnop1234")}
+    for name in ("leak_patterns_whole_documents", "leak_patterns_whole_pages"):
+        assert [(r.id, r.category, r.match) for r in q[name](spark, str(tmp_path)).collect()] == [(1, "api_key", "sk-abcdefghijklmnop1234")]
+    payload = spark.createDataFrame([(1, '{"a":"' + late + '"}')], "payload_id int, payload string")
+    assert {(r.path, r.category) for r in payload_leaks(payload).collect()} == {("$.a", "email"), ("$.a", "api_key")}
