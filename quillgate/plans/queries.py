@@ -243,8 +243,10 @@ def leak_nested_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.select(F.col("conv_id").alias("payload_id"), F.expr(_PAYLOAD.replace("{s}", "STRING").replace("count(*)", "n")).alias("payload"))
+    """The SQL's payload with the real turns in the place of their number."""
+    turns = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    n = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    return n.select(F.col("conv_id").alias("payload_id"), F.expr(_PAYLOAD.replace("CAST(count(*) AS {s})", "turns")).alias("payload"))
 
 
 @query("payload_gate_conversations", "SELECT conv_id AS payload_id, conv_id % 3 <> 0 AS safe, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS n_findings FROM conversations GROUP BY conv_id")

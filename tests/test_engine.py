@@ -164,3 +164,12 @@ def test_leaks_behind_the_first_512_characters(spark, tmp_path):
         assert [(r.id, r.category, r.match) for r in q[name](spark, str(tmp_path)).collect()] == [(1, "api_key", "sk-abcdefghijklmnop1234")]
     payload = spark.createDataFrame([(1, '{"a":"' + late + '"}')], "payload_id int, payload string")
     assert {(r.path, r.category) for r in payload_leaks(payload).collect()} == {("$.a", "email"), ("$.a", "api_key")}
+
+
+def test_conversations_are_gated_by_their_turns(spark, tmp_path):
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", 'my "mail" is a@b.co'), (2, 0, "user", "nothing here"), (3, 0, "user", None), (4, 0, "system", "x " * 400 + "ABCDE1234F"), (4, 1, "user", "a@b.co")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    q = entry.queries()
+    # by hand: the turns with a finding, and the planted key in every third conversation
+    assert {tuple(r) for r in q["payload_gate_conversations"](spark, str(tmp_path)).collect()} == {(1, False, 1), (2, True, 0), (3, False, 1), (4, False, 2)}
+    assert [tuple(r) for r in q["leak_nested_keys"](spark, str(tmp_path)).collect()] == [(3, "$.messages[1].auth.Token")]
