@@ -14,7 +14,7 @@ _WIDE = "".join(chr(0xFF01 + i) for i in range(94))
 _NARROW = "".join(chr(0x21 + i) for i in range(94))
 _BASE64 = "^[A-Za-z0-9+/]{32,}={0,2}$"
 _DATA = "^data:[^;,]*;base64,"
-RUNS, RUN_CHARS, LEAST_RUN = 200, 256, 6
+LEAST_RUN = 6
 
 
 def luhn(number: Column) -> Column:
@@ -82,8 +82,8 @@ def is_base64(text: Column) -> Column:
 
 
 def scan_base64(text: Column) -> Column:
-    """array<LEAK> in the printable runs of a base64 body; null or broken: none."""
+    """array<LEAK> in all printable runs of a base64 body, whole; null or broken: none."""
     body = F.regexp_replace(text, _DATA, "")
     plain = F.decode(F.try_to_binary(F.when(is_base64(text) & (F.length(body) >= 12), body), F.lit("base64")), "ISO-8859-1")
-    runs = F.slice(F.regexp_extract_all(plain, F.lit(rf"[\x20-\x7e]{{{LEAST_RUN},}}"), F.lit(0)), 1, RUNS + 1)
-    return F.coalesce(F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) <= RUN_CHARS), kept_findings)), empty(LEAK))
+    runs = F.regexp_extract_all(plain, F.lit(rf"[\x20-\x7e]{{{LEAST_RUN},}}"), F.lit(0))
+    return F.coalesce(F.flatten(F.transform(runs, kept_findings)), empty(LEAK))

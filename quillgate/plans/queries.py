@@ -216,7 +216,7 @@ for _name, _table, _id, _text in (("documents", "documents", "doc_id", "text"),
 
 @query("leak_scan_documents")
 def leak_scan_documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(leaks.scan_text(F.col("text"), None)).alias("f")).select("doc_id", "f.*")
+    return table(spark, d, "documents").select("doc_id", F.explode(F.concat(leaks.scan_text(F.col("text"), None), leaks.scan_base64(F.col("text")))).alias("f")).select("doc_id", "f.*")
 
 
 _LUHN = "list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 0 THEN CAST(substr(x, i, 1) AS INT) WHEN CAST(substr(x, i, 1) AS INT) * 2 > 9 THEN CAST(substr(x, i, 1) AS INT) * 2 - 9 ELSE CAST(substr(x, i, 1) AS INT) * 2 END)) % 10 = 0"

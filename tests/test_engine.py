@@ -1,5 +1,6 @@
 """Cases of each detector and decision, on small tables."""
 
+import base64
 import datetime
 
 import pytest
@@ -9,7 +10,7 @@ import __spark_entry__ as entry
 from quillgate.functions import decisions as D
 from quillgate.functions.documents import classify
 from quillgate.functions.fields import sanitize_field
-from quillgate.functions.leaks import scan_text
+from quillgate.functions.leaks import scan_base64, scan_text
 from quillgate.functions.regex import java, re2
 from quillgate.functions.text import findings, ocr_decision, safe_descriptive, sanitize_text
 from quillgate.operators import pixels, vault
@@ -173,3 +174,12 @@ def test_conversations_are_gated_by_their_turns(spark, tmp_path):
     # by hand: the turns with a finding, and the planted key in every third conversation
     assert {tuple(r) for r in q["payload_gate_conversations"](spark, str(tmp_path)).collect()} == {(1, False, 1), (2, True, 0), (3, False, 1), (4, False, 2)}
     assert [tuple(r) for r in q["leak_nested_keys"](spark, str(tmp_path)).collect()] == [(3, "$.messages[1].auth.Token")]
+
+
+def test_base64_is_scanned_whole(spark, tmp_path):
+    code = lambda t: base64.b64encode(t.encode()).decode()
+    rows = [(1, code("word " * 80 + "a@b.co end")), (2, code("plain run\n" * 230 + "mail a@b.co now")), (3, code("nothing to be found here, " * 20))]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.f for r in t.select("doc_id", F.transform(scan_base64(F.col("text")), lambda x: x["match"]).alias("f")).collect()} == {1: ["a@b.co"], 2: ["a@b.co"], 3: []}
+    t.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r.doc_id, r.category) for r in entry.queries()["leak_scan_documents"](spark, str(tmp_path)).collect()} == {(1, "email"), (2, "email")}
