@@ -4,8 +4,8 @@ Documents become token ids; only those longer than a sequence are cut. Pieces ar
 random over shards of bounded size; a shard is packed in memory. Best fit, longest first,
 gives the start. Then the emptiest underfull bin is worked on: its pieces are moved to
 other underfull bins, exchanged one for one, two for one or one for two, wherever that
-raises the sum of squared fills, until the bin is empty; then the next, until as few bins
-are left as the tokens allow or no exchange helps.
+raises the sum of squared fills, until the bin is empty or no exchange helps; then the next,
+until as few bins are left as the tokens allow or a pass over all underfull bins empties none.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from quillgate.llm._tokens import EOS, TokenIds
 from quillgate.llm._words import batches
 
 LENGTH, SHARD = 4096, 20_000
-#: Exchanges tried on one bin before it is left.
-PATIENCE = 400
 _tokens: dict[str | None, TokenIds] = {}
 
 
@@ -89,21 +87,21 @@ class Bins:
 
     def improve(self) -> None:
         """Empties underfull bins, the emptiest first, by exchanges that raise squared fill."""
-        live = sorted((b for b in range(len(self.bins)) if self.fill[b] < self.most), key=lambda b: self.fill[b])
-        count = len(self.bins)
-        while count > self.least and len(live) > 1:
-            a = live.pop(0)
-            for _ in range(PATIENCE):
+        count, emptied = len(self.bins), True
+        while count > self.least and emptied:
+            emptied = False
+            todo = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.most), key=lambda b: self.fill[b])
+            while count > self.least and todo:
+                a = todo.pop(0)
+                while self.bins[a]:  # ends, as squared fill rises with each exchange
+                    live = [b for b in range(len(self.bins)) if b != a and 0 < self.fill[b] < self.most]
+                    best = max((self._exchange(a, b) for b in live), key=lambda x: x[0], default=(0, None))
+                    if best[0] <= 0:
+                        break
+                    self._do(a, *best[1])
                 if not self.bins[a]:
-                    break
-                best = max((self._exchange(a, b) for b in live), key=lambda x: x[0], default=(0, None))
-                if best[0] <= 0:
-                    break
-                self._do(a, *best[1])
-                live = [b for b in live if self.fill[b] < self.most]
-            if self.bins[a]:
-                break
-            count -= 1
+                    count, emptied = count - 1, True
+                todo = sorted((b for b in todo if 0 < self.fill[b] < self.most), key=lambda b: self.fill[b])
         self.bins = [b for b in self.bins if b]
 
     def _exchange(self, a: int, b: int) -> tuple[int, tuple | None]:

@@ -75,3 +75,10 @@ def test_exchanges_empty_a_bin():
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_search_goes_on_after_a_bin_that_cannot_be_emptied():
+    lengths = [40, 47, 47, 47, 49, 32, 34, 30, 46, 40, 33, 47, 38, 30, 39, 32, 40, 34, 30, 40, 31, 48, 32, 32, 49, 40]
+    bins = pack(lengths, 100)
+    assert len(bins) == 11 and sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 100 for b in bins)
