@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgate.llm._packed import packed, spread
 from quillgate.llm._store import materialise
 from quillgate.llm._words import batches, mix64, shingle_sets
 from quillgate.llm.components import connected_components
@@ -94,20 +95,6 @@ def set_profiles(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, n long, h1 long, h2 long")
 
 
-def _spread(x: np.ndarray, n: int) -> np.ndarray:
-    return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
-
-
-def _packed(to: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
-    """One row for each value of ``to``: it and the values of each column, as bytes."""
-    order = np.argsort(to, kind="stable")
-    to, cols = to[order], tuple(c[order] for c in cols)
-    at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.empty(0, int)
-    ends = np.concatenate((at[1:], [len(to)])) if len(to) else at
-    own = [[c[s:e].tobytes() for s, e in zip(at, ends)] for c in cols]
-    return pa.RecordBatch.from_arrays([pa.array(to[at], pa.int32()), *(pa.array(x, pa.binary()) for x in own)], names=["to", *"abc"[: len(cols)]])
-
-
 def _postings(docs: DataFrame, text_col: str, width: int, percent: int, buckets: int) -> DataFrame:
     """Step 2: each row's prefix as (shingle, class key), packed by range of the shingle."""
 
@@ -116,7 +103,7 @@ def _postings(docs: DataFrame, text_col: str, width: int, percent: int, buckets:
         order = np.lexsort((k, t))
         t, k = t[order], k[order]
         new = np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))
-        return _packed(_spread(t[new], buckets), t[new], k[new])
+        return packed(spread(t[new], buckets), t[new], k[new])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toks, keys, held = [], [], 0
@@ -163,7 +150,7 @@ def _shared(buckets: int, percent: int):
         _, inverse, df = np.unique(t, return_inverse=True, return_counts=True)
         df = df[inverse].astype(np.uint64)
         two = df > 1
-        yield _packed(_spread(mix64(k[two]), buckets), k[two], t[two], df[two])
+        yield packed(spread(mix64(k[two]), buckets), k[two], t[two], df[two])
 
     return run
 
@@ -182,7 +169,7 @@ def _routes(buckets: int, percent: int):
         least = prefix_overlap(least_size((key & np.uint64(_N_MASK)).astype(np.int64), percent))
         keep = np.where(count >= least, count - least + 1, 0)
         own = np.arange(len(k)) - np.repeat(at, count) < np.repeat(keep, count)
-        yield _packed(_spread(t[own], buckets), t[own], k[own])
+        yield packed(spread(t[own], buckets), t[own], k[own])
 
     return run
 
