@@ -1,11 +1,12 @@
-"""Best-fit packing with swap-based local search.
+"""Packing by swap-based local search, with best fit for its moves.
 
 Documents become token ids; only those longer than a sequence are cut. Pieces are dealt at
-random over shards of bounded size; a shard is packed in memory. Best fit, longest first,
-gives the start. Then the emptiest underfull bin is worked on: its pieces are moved to
-other underfull bins, exchanged one for one, two for one or one for two, wherever that
-raises the sum of squared fills, until the bin is empty or no exchange helps; then the next,
-until as few bins are left as the tokens allow or a pass over all underfull bins empties none.
+random over shards of bounded size; a shard is packed in memory. Its pieces first stand as
+they come, which leaves a fifth of the room or so. Then the emptiest underfull bin is worked
+on: its pieces are moved to the fullest bins with room for them, or exchanged with pieces
+of other underfull bins, one for one, two for one or one for two, whatever raises the sum of
+squared fills most, until the bin is empty or nothing raises it; then the next, until as few
+bins are left as the tokens allow or a pass over all underfull bins empties none.
 """
 
 from __future__ import annotations
@@ -17,18 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgate.llm._store import materialise
+from quillgate.llm._store import materialise, unused
 from quillgate.llm._tokens import EOS, TokenIds
 from quillgate.llm._words import batches
 
-LENGTH, SHARD = 4096, 20_000
+LENGTH, SHARD = 4096, 10_000
 _tokens: dict[str | None, TokenIds] = {}
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, eos: int = EOS) -> DataFrame:
     """(id, piece, start, length, ids) of every row: its ids and then ``eos``, cut into
     pieces of ``length`` only where longer; ``ids`` are little-endian unsigned 32-bit. A null
-    or empty text is ``eos`` alone."""
+    or empty text is ``eos`` alone; null ids and repeated rows stay rows of their own, an
+    empty table gives no rows, and other columns are not looked at."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokens:
@@ -56,127 +58,201 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Bins:
-    """Bins of one shard: lists of (length, piece)."""
-
-    def __init__(self, lengths: list[int], most: int):
-        self.most, self.bins, self.fill = most, [], []
-        self.least = -(-sum(lengths) // most)
-        self._best_fit(lengths)
-
-    def _best_fit(self, lengths: list[int]) -> None:
-        room: list[list[int]] = [[] for _ in range(self.most + 1)]  # bins by their gap
-        gaps = 0  # a bit for each gap that a bin has
-        for k in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-            n = lengths[k]
-            fit = gaps >> n
-            if fit:
-                gap = n + (fit & -fit).bit_length() - 1
-                bin = room[gap].pop()
-                if not room[gap]:
-                    gaps &= ~(1 << gap)
-            else:
-                gap, bin = self.most, len(self.bins)
-                self.bins.append([])
-                self.fill.append(0)
-            self.bins[bin].append((n, k))
-            self.fill[bin] += n
-            left = gap - n
-            if left:
-                room[left].append(bin)
-                gaps |= 1 << left
+    """Bins of one shard: ``bins``, or the pieces as they come, each in the last bin while it
+    has room; :meth:`improve` then empties bins."""
+
+    def __init__(self, lengths: list[int], most: int, bins: list[list[int]] | None = None):
+        self.most, self.size = most, np.array(lengths, np.int64)
+        self.least = -(-int(self.size.sum()) // most)
+        if bins is None:
+            bins, room = [], 0
+            for k, n in enumerate(lengths):
+                if n > room:
+                    bins.append([])
+                    room = most
+                bins[-1].append(k)
+                room -= n
+        self.bins = bins
+        self.of = np.zeros(len(lengths), np.int64)  # the bin of each piece
+        for b, own in enumerate(bins):
+            self.of[own] = b
+        self.gap = most - np.bincount(self.of, self.size, len(self.bins)).astype(np.int64)
+        self.count = self.start = len(self.bins)
+        self.pairs, self.pairs_of = None, [None] * len(self.bins)  # sums of two pieces, of all underfull bins and of each
+        # underfull bins by their gap, and a bit for each gap that a bin has
+        self.room: dict[int, set[int]] = {}
+        self.gaps = 0
+        for b in range(len(self.bins)):
+            self._open(b)
+
+    def _open(self, b: int) -> None:
+        if 0 < (g := int(self.gap[b])) < self.most:
+            self.room.setdefault(g, set()).add(b)
+            self.gaps |= 1 << g
+
+    def _shut(self, b: int) -> None:
+        g = int(self.gap[b])
+        if b in (own := self.room.get(g, set())):
+            own.remove(b)
+            if not own:
+                self.gaps &= ~(1 << g)
 
     def improve(self) -> None:
-        """Empties underfull bins, the emptiest first, by exchanges that raise squared fill."""
-        count, emptied = len(self.bins), True
-        while count > self.least and emptied:
-            emptied = False
-            todo = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.most), key=lambda b: self.fill[b])
-            while count > self.least and todo:
-                a = todo.pop(0)
-                while self.bins[a]:  # ends, as squared fill rises with each exchange
-                    live = [b for b in range(len(self.bins)) if b != a and 0 < self.fill[b] < self.most]
-                    best = max((self._exchange(a, b) for b in live), key=lambda x: x[0], default=(0, None))
-                    if best[0] <= 0:
-                        break
-                    self._do(a, *best[1])
-                if not self.bins[a]:
-                    count, emptied = count - 1, True
-                todo = sorted((b for b in todo if 0 < self.fill[b] < self.most), key=lambda b: self.fill[b])
-        self.bins = [b for b in self.bins if b]
-
-    def _exchange(self, a: int, b: int) -> tuple[int, tuple | None]:
-        """The best gain in squared fill by what bin b can take from bin a for what it gives."""
-        gap = self.most - self.fill[b]
-        x, y = np.array([n for n, _ in self.bins[a]]), np.array([n for n, _ in self.bins[b]])
+        """Empties underfull bins, the emptiest first, by moves and exchanges that raise the
+        sum of squared fills, until no bin can go or a pass over all of them empties none."""
+        emptied = True
+        while emptied and self.count > self.least:
+            emptied, tried = False, np.zeros(len(self.bins), bool)
+            while self.count > self.least:
+                todo = np.flatnonzero((self.gap > 0) & (self.gap < self.most) & ~tried)
+                if not len(todo):
+                    break
+                a = int(todo[np.argmax(self.gap[todo])])
+                tried[a] = True
+                self._shut(a)
+                while self.bins[a] and self._step(a):  # ends, as squared fill rises with each step
+                    pass
+                if self.bins[a]:
+                    self._open(a)
+                else:
+                    self.count, emptied = self.count - 1, True
+
+    def _step(self, a: int) -> bool:
+        """The best step by which bin a gets emptier: moves first, then exchanges of one or
+        two of a for one, then of one for two."""
+        moved = False
+        for k in sorted(self.bins[a], key=lambda k: (-self.size[k], k)):
+            n = int(self.size[k])
+            if fit := self.gaps >> n:
+                b = min(self.room[n + (fit & -fit).bit_length() - 1])
+                if self.gap[a] > self.gap[b] - n:
+                    self._exchange(a, b, [k], [])
+                    moved = True
+        if moved or not self.bins[a]:
+            return moved
+        live = np.flatnonzero((self.gap > 0) & (self.gap < self.most) & (np.arange(len(self.bins)) != a))
+        best = self._one_back(a, live) or self._two_back(a)
+        if best:
+            self._exchange(a, *best)
+        return best is not None
+
+    def _choices(self, own: list[int], pairs: bool) -> tuple[np.ndarray, list[list[int]]]:
+        """Sums of one piece of ``own``, or two; a sum once."""
+        got = {}
+        if pairs:
+            by_size = {}
+            for k in own:
+                by_size.setdefault(int(self.size[k]), []).append(k)
+            kept = [k for same in by_size.values() for k in same[:2]]
+            for i, k in enumerate(kept):
+                for m in kept[:i]:
+                    got.setdefault(int(self.size[k] + self.size[m]), [k, m])
+        else:
+            for k in own:
+                got.setdefault(int(self.size[k]), [k])
+        return np.fromiter(got, np.int64, len(got)), list(got.values())
+
+    def _gain(self, a: int, d: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Of squared fill where a bin with ``gap`` gets d more of bin a; 0 where it can't."""
+        return np.where((d > 0) & (d <= gap), d * (int(self.gap[a]) - gap + d), 0)
+
+    def _one_back(self, a: int, live: np.ndarray) -> tuple | None:
+        ones, twos = self._choices(self.bins[a], False), self._choices(self.bins[a], True)
+        give, which = np.concatenate((ones[0], twos[0])), ones[1] + twos[1]
+        open_bin = np.zeros(len(self.bins), bool)
+        open_bin[live] = True
+        item = np.flatnonzero(open_bin[self.of])
+        if not len(item):
+            return None
+        gap, size = self.gap[self.of[item]], self.size[item]
         best, what = 0, None
-        give = [((), 0), *(((j,), int(n)) for j, n in enumerate(y))]
-        one = np.array([n for _, n in give])
-        d = x[:, None] - one[None, :]
-        d = np.where((d > 0) & (d <= gap), d, 0)  # a move, or one for one
-        if d.size and d.max() > best:
-            i, j = np.unravel_index(int(d.argmax()), d.shape)
-            best, what = int(d[i, j]), ((int(i),), give[j][0])
-        if best < gap:
-            for from_a, from_b in ((x, y), (y, x)):  # one of a for two of b; two of a for one of b
-                if len(from_b) < 2 or not len(from_a):
-                    continue
-                p, q = np.triu_indices(len(from_b), 1)
-                two = from_b[p] + from_b[q]
-                d = from_a[:, None] - two[None, :]
-                d = d if from_a is x else -d
-                d = np.where((d > 0) & (d <= gap), d, 0)
-                if d.max() > best:
-                    i, j = np.unravel_index(int(d.argmax()), d.shape)
-                    pair = (int(p[j]), int(q[j]))
-                    best, what = int(d[i, j]), (((int(i),), pair) if from_a is x else (pair, (int(i),)))
-        gain = 2 * best * (self.fill[b] + best - self.fill[a])
-        return (gain, (b, *what)) if what and gain > 0 else (0, None)
-
-    def _do(self, a: int, b: int, take: tuple[int, ...], give: tuple[int, ...]) -> None:
-        out, back = [self.bins[a][i] for i in take], [self.bins[b][j] for j in give]
-        self.bins[a] = [v for i, v in enumerate(self.bins[a]) if i not in take] + back
-        self.bins[b] = [v for j, v in enumerate(self.bins[b]) if j not in give] + out
-        for k in (a, b):
-            self.fill[k] = sum(n for n, _ in self.bins[k])
+        for n, own in zip(give.tolist(), which):
+            gain = self._gain(a, n - size, gap)
+            i = int(gain.argmax())
+            if gain[i] > best:
+                best, what = gain[i], (int(self.of[item[i]]), own, [int(item[i])])
+        return what
+
+    def _two_back(self, a: int) -> tuple | None:
+        if self.pairs is None:
+            live = np.flatnonzero((self.gap > 0) & (self.gap < self.most))
+            for b in live.tolist():
+                if self.pairs_of[b] is None:
+                    self.pairs_of[b] = self._choices(self.bins[b], True)
+            sums = [self.pairs_of[b][0] for b in live.tolist()]
+            n = np.fromiter(map(len, sums), np.int64, len(sums))
+            self.pairs = np.concatenate([np.empty(0, np.int64), *sums]), np.repeat(live, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        sums, of, place = self.pairs
+        if not len(sums):
+            return None
+        gap, best, what = np.where(of == a, 0, self.gap[of]), 0, None
+        for n, own in zip(*self._choices(self.bins[a], False)):
+            gain = self._gain(a, int(n) - sums, gap)
+            i = int(gain.argmax())
+            if gain[i] > best:
+                b = int(of[i])
+                best, what = gain[i], (b, own, self.pairs_of[b][1][place[i]])
+        return what
+
+    def _exchange(self, a: int, b: int, give: list[int], back: list[int]) -> None:
+        self._shut(b)
+        self.pairs = self.pairs_of[a] = self.pairs_of[b] = None
+        self.bins[a] = [k for k in self.bins[a] if k not in give] + back
+        self.bins[b] = [k for k in self.bins[b] if k not in back] + give
+        self.of[give], self.of[back] = b, a
+        d = int(self.size[give].sum() - self.size[back].sum())
+        self.gap[a] += d
+        self.gap[b] -= d
+        self._open(b)
 
 
 def pack(lengths: list[int], most: int = LENGTH) -> list[list[int]]:
     """Bins of the indices of ``lengths``; none is above ``most``."""
+    return searched(lengths, most)[0]
+
+
+def searched(lengths: list[int], most: int = LENGTH) -> tuple[list[list[int]], int]:
+    """The same, and the number of bins before the search."""
     full = [[k] for k, n in enumerate(lengths) if n == most]
     rest = [k for k, n in enumerate(lengths) if n < most]
     b = Bins([lengths[k] for k in rest], most)
     b.improve()
-    return full + [[rest[k] for _, k in bin] for bin in b.bins if bin]
+    return full + [[rest[k] for k in bin] for bin in b.bins if bin], len(full) + b.start
 
 
 def pack_pieces(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """Adds sequence_id and offset to rows with a ``length`` (1 to ``length`` tokens). All
-    rows stay, null ids and repeated rows as well; other columns are passed on."""
-    held = materialise(pieces.withColumn("_uid", F.monotonically_increasing_id()), "pack-pieces")
-    shards = held.count() // shard + 1
+    """Adds sequence_id, offset, shard_start and shard_bins to rows with a ``length`` (1 to
+    ``length`` tokens); the latter two are the sequences of the row's shard before the search
+    and after it. All rows stay, null ids and repeated rows as well; other columns are passed
+    on, whatever their names; an empty table gives no rows."""
     names = pieces.columns
+    uid, part = unused([*names, "sequence_id", "offset", "shard_start", "shard_bins"], "_uid", "_shard")
+    held = materialise(pieces.withColumn(uid, F.monotonically_increasing_id()), "pack-pieces")
+    shards = held.count() // shard + 1
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(it)
         if not got:
             return
         t = pa.Table.from_batches(got)
-        own = t.column("_shard").to_numpy()
+        own = t.column(part).to_numpy()
         for s in np.unique(own).tolist():
-            part = t.filter(pa.array(own == s)).sort_by("_uid")
-            n = part.column("length").to_pylist()
+            rows = t.filter(pa.array(own == s)).sort_by(uid)
+            n = rows.column("length").to_pylist()
             seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            for k, bin in enumerate(pack(n, length)):
+            bins, start = searched(n, length)
+            for k, bin in enumerate(bins):
                 at = 0
                 for i in bin:
                     seq[i], off[i] = (s << 32) + k, at
                     at += n[i]
-            out = part.select(names).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
+            out = rows.select(names).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
+            out = out.append_column("shard_start", pa.array(np.full(len(n), start))).append_column("shard_bins", pa.array(np.full(len(n), len(bins))))
             yield from out.to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    dealt = held.withColumn("_shard", F.pmod(F.xxhash64("_uid"), F.lit(shards)).cast("long")).repartition(shards, "_shard")
-    return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    dealt = held.withColumn(part, F.pmod(F.xxhash64(uid), F.lit(shards)).cast("long")).repartition(shards, part)
+    return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long, shard_start long, shard_bins long")
 
 
 def packed_sequences(placed: DataFrame) -> DataFrame:
@@ -188,7 +264,8 @@ def packed_sequences(placed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``docs``."""
+    """(id, piece, start, length, ids_crc32, sequence_id, offset, shard_start, shard_bins) of
+    every piece of ``docs``; nulls and repeated rows as in :func:`token_pieces`."""
     pieces = token_pieces(docs, id_col, text_col, length, path)
     return pack_pieces(pieces.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), length)
 
