@@ -1,8 +1,11 @@
+import math
 import random
 import re
 from collections import Counter
 
-from quillgate.llm.quality_rules import quality_rules
+import pytest
+
+from quillgate.llm.quality_rules import CLEAN, GOOD, KINDS, PRIOR, ROUNDS, default_rules, posteriors, quality_rules, start_rates
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string"
@@ -44,5 +47,73 @@ def test_statistics_and_verdict(spark):
     assert not any(by[i].kept for i, _ in bad)
 
 
+def plain_em(patterns, rules, clean, kinds, rounds=ROUNDS):
+    """EM in plain Python over {votes: count}."""
+    b0 = start_rates(rules, clean) + start_rates(rules, kinds)
+    n_class, n_rule, n = len(b0), len(b0[0]), sum(patterns.values())
+    pi, b = [GOOD / len(clean)] * len(clean) + [(1 - GOOD) / len(kinds)] * len(kinds), b0
+
+    def classes(v):
+        logs = [math.log(pi[c]) + sum(math.log(b[c][j] if v[j] == 0 else 1 - b[c][j]) for j in range(n_rule) if v[j] is not None) for c in range(n_class)]
+        over = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(over) for x in over]
+
+    for _ in range(rounds):
+        g = {v: [k * x for x in classes(v)] for v, k in patterns.items()}
+        share = lambda c, j: (sum(w[c] for v, w in g.items() if v[j] == 0) + PRIOR * b0[c][j]) / (sum(w[c] for v, w in g.items() if v[j] is not None) + PRIOR)
+        pi, b = [(sum(w[c] for w in g.values()) + 1) / (n + n_class) for c in range(n_class)], [[share(c, j) for j in range(n_rule)] for c in range(n_class)]
+    return {v: sum(classes(v)[: len(clean)]) for v in patterns}
+
+
+def votes_of(n, chars, symbols, lines, dup_lines, repeats, distinct, upper, letters, marks, bare):
+    high = lambda x, bad, good: None if x is None else 0 if x > bad else 1 if x <= good else None
+    low = lambda x, bad, good: None if x is None else 0 if x < bad else 1 if x > good else None
+    share = lambda a, b: a / b if b else None
+    mean, dup = share(chars, n), share(dup_lines, lines)
+    return (
+        high(share(symbols, n), 0.1, 0.05), low(share(letters, chars), 0.9, 0.95), high(share(bare, n), 0.05, 0.02), high(share(marks, n), 0.1, 0.05), high(share(upper, chars), 0.2, 0.1),
+        high(share(repeats, n), 0.1, 0.02), 0 if dup is not None and dup > 0.1 else 1 if lines > 1 and dup <= 0.02 else None,
+        None if mean is None else 0 if mean < 4 or mean > 6.5 else 1 if 4.5 <= mean <= 6 else None, low(n, 50, 99), low(share(distinct, n), 0.4, 0.5),
+    )
+
+
+def test_posteriors_are_those_of_plain_em(spark):
+    good, bad, edge = corpus()
+    # short clean texts, against which one rule votes
+    docs = [t or "" for _, t in good + bad + edge] + [" ".join(t.split()[:35]) for _, t in good[:12]]
+    patterns, failed = Counter(), {}
+    for t in docs:
+        n, chars, symbols, dup, repeats, base = stats(t)
+        words = W.findall(t)
+        letter = lambda x: x.isalpha()
+        v = votes_of(
+            n, chars, symbols, len([x for x in t.split("\n") if W.search(x)]), dup, repeats, len(set(words)), sum(x.isupper() for x in t), sum(map(letter, t)),
+            t.count("!") + t.count("?"), sum(not any(letter(c) or c.isnumeric() for c in x) for x in words),
+        )
+        patterns[v] += 1
+        failed[t] = (v, base)
+    told = plain_em(patterns, list(default_rules()), CLEAN, KINDS)
+    got = quality_rules(spark.createDataFrame(list(enumerate(docs)), SCHEMA)).collect()
+    for r in got:
+        v, base = failed[docs[r.doc_id]]
+        assert abs(r.posterior - told[v]) < 1e-6 and r.kept == (not base and told[v] >= 0.5) and r.n_bad_votes == v.count(0)
+    # EM decides: texts that fail a rule are kept
+    assert sum(r.kept and r.n_bad_votes > 0 for r in got) > 3
+
+
+def test_a_vote_of_a_noisy_rule_is_outvoted(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(2000):
+        bad = i % 10 == 0
+        rows.append((i, bad, [int(r.random() > (0.9 if bad else p)) for p in (0.02, 0.02, 0.3)] + [None if r.random() < 0.5 else int(r.random() > (0.9 if bad else 0.02))]))
+    votes = spark.createDataFrame(rows, "i int, bad boolean, votes array<int>")
+    told = {tuple(x.votes): x.posterior for x in posteriors(votes, "votes", list("abcd")).collect()}
+    assert told == pytest.approx(plain_em(Counter(tuple(v) for _, _, v in rows), list("abcd"), {"good": ()}, {"bad": tuple("abcd")}), abs=1e-6)
+    assert told[1, 1, 0, 1] > 0.5 > told[0, 0, 1, 1]
+    right = sum((told[tuple(v)] < 0.5) == bad for _, bad, v in rows)
+    assert right > 0.98 * len(rows) > sum((0 in v) == bad for _, bad, v in rows) + 300
+
+
 def test_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
