@@ -1,10 +1,11 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built from text labelled good and bad. A text is compressed
-in blocks with each; the difference of the compressed sizes, per byte of the text, tells
-which of the two it is more like, and a logistic curve fitted on other labelled texts turns
-it into a probability. Text that repeats itself needs neither dictionary, and so has a
-difference near that of bad text. Only bounded samples of labelled rows are learned from.
+Two zstandard dictionaries are trained on blocks of text labelled good and bad. A text is
+compressed in blocks with each; the difference of the compressed sizes, per byte of the
+text, tells which of the two it is more like, and a logistic curve fitted on other labelled
+texts turns it into a probability. Text that repeats itself needs neither dictionary, and so
+has a difference near that of bad text. Only bounded samples of labelled rows are learned
+from; of these, the dictionaries draw from all blocks and the curve takes all.
 """
 
 from __future__ import annotations
@@ -19,22 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgate.llm._learn import fold, labelled_sample
+from quillgate.llm._store import drop, materialise
 
-#: Labelled rows of each label for the dictionaries and the curve together; blocks of each
-#: that the driver gets; bytes of a block and of a dictionary.
-SAMPLE, SAMPLE_BLOCKS, BLOCK, DICTIONARY, LEVEL = 2400, 3, 2048, 400_000, 3
+#: Labelled rows of each label for the dictionaries and the curve together; blocks that a
+#: dictionary is trained on; bytes of a block and of a dictionary.
+SAMPLE, BLOCKS, BLOCK, DICTIONARY, LEVEL = 2400, 6000, 2048, 112_640, 3
 
 
 def blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
-def spread_blocks(text: bytes, most: int) -> list[bytes]:
-    """At most ``most`` blocks from all over a text."""
-    own = blocks(text)
-    return own if len(own) <= most else [own[int(i * len(own) / most)] for i in range(most)]
-
-
 @dataclass
 class CompressionModel:
     good: bytes
@@ -64,18 +60,17 @@ class CompressionModel:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d = zstandard.ZstdCompressionDict(content)  # trained, or plain text
     d.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
 
 
-def build_dictionary(texts: list[list[bytes]], size: int = DICTIONARY) -> bytes:
-    """Pieces of the texts in turn, up to ``size`` bytes."""
-    if not texts:
-        return b""
-    piece = max(128, size // len(texts))
-    out = [t[len(t) // 2][:piece] for t in texts if t]
-    return b"".join(out)[-size:]
+def build_dictionary(samples: list[bytes], size: int = DICTIONARY) -> bytes:
+    """A dictionary trained on the blocks. Of too few to train on, they are the dictionary."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, share: float = 0.5) -> tuple[float, float]:
@@ -95,24 +90,38 @@ def fit_curve(x: np.ndarray, y: np.ndarray, share: float = 0.5) -> tuple[float,
     return float(b[0] / scale), float(b[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> CompressionModel:
-    """Fits the model on at most ``sample`` rows of each label. Two of three sampled rows
-    go to the dictionaries, the others to the curve. Without rows of a label its dictionary
-    is empty, and without both every score is that of no difference."""
+def _sampled_blocks(rows: DataFrame, label: int) -> list[bytes]:
+    """At most BLOCKS of all blocks of the rows with ``label``, those first by their digests."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [spread_blocks(t.encode(), SAMPLE_BLOCKS) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("spot"), pa.array(got, pa.list_(pa.binary()))], names=["label", "spot", "blocks"])
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(blocks(t), pa.binary())], names=["block"])
+
+    own = rows.where(F.col("label") == label).select("text").mapInArrow(run, "block binary").withColumn("spot", F.md5("block"))
+    return [bytes(r.block) for r in own.orderBy("spot").limit(BLOCKS).collect()]
+
 
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> CompressionModel:
+    """Fits the model on at most ``sample`` rows of each label. Two of three sampled rows
+    go to the dictionaries, the others, whole, to the curve. Without rows of a label its
+    dictionary is empty, and without both every score is that of no difference. Nulls,
+    repeated labels and repeated ids as in :func:`labelled_sample`."""
     labels = labels.withColumn(label_col, F.col(label_col).cast("int"))
     share = labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0]
-    rows = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
-    got = sorted(rows.mapInArrow(run, "label int, spot string, blocks array<binary>").collect(), key=lambda r: (r.spot, r.label))
-    texts = [(int(r.label), [bytes(x) for x in r.blocks]) for r in got]
-    learn, rest = [t for i, t in enumerate(texts) if i % 3], [t for i, t in enumerate(texts) if i % 3 == 0]
-    model = CompressionModel(build_dictionary([b for y, b in learn if y]), build_dictionary([b for y, b in learn if not y]))
-    model.slope, model.shift = fit_curve(np.array([model.difference(b) for _, b in rest]), np.array([y for y, _ in rest]), 0.5 if share is None else min(max(share, 0.01), 0.99))
+    rows = materialise(labelled_sample(docs, labels, label_col, sample, id_col, text_col), "quality-sample")
+    third = F.crc32(F.col("spot").cast("binary")) % 3
+    model = CompressionModel(*(build_dictionary(_sampled_blocks(rows.where(third != 0), y)) for y in (1, 0)))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            d = [model.difference(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("spot"), pa.array(d, pa.float64())], names=["label", "spot", "d"])
+
+    # 2 * sample numbers at most
+    rest = sorted(rows.where(third == 0).mapInArrow(run, "label int, spot string, d double").collect(), key=lambda r: (r.spot, r.label))
+    drop(rows)
+    model.slope, model.shift = fit_curve(np.array([r.d for r in rest]), np.array([r.label for r in rest]), 0.5 if share is None else min(max(share, 0.01), 0.99))
     return model
 
 

@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from quillgate.llm._learn import fold
-from quillgate.llm.quality_classifier import score_quality, train
+from quillgate.llm.quality_classifier import CompressionModel, build_dictionary, fit_curve, score_quality, train
 
 SCHEMA = "doc_id long, text string"
 
@@ -32,6 +33,33 @@ def test_held_out_accuracy(spark):
     assert abs(np.mean([by[i] for i, _ in labels]) - np.mean([y for _, y in labels])) < 0.05
 
 
+def test_differences_are_those_of_plain_compression():
+    r = random.Random(3)
+    texts = ["".join(r.choices("abcdefgh ", k=r.randrange(0, 9000))).encode() for _ in range(30)]
+    good, bad = build_dictionary([b"good words " * 150 + bytes([k]) for k in range(60)]), build_dictionary([])
+    model = CompressionModel(good, bad)
+
+    def size(text, content):
+        d = zstandard.ZstdCompressionDict(content)
+        return sum(len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False).compress(text[i : i + 2048])) for i in range(0, len(text), 2048))
+
+    for t in texts:
+        want = (size(t, bad) - size(t, good)) / len(t) if t else 0.0
+        assert abs(model.difference(t) - want) < 0.02
+
+
+def test_curve_is_that_of_plain_gradient_steps():
+    r = np.random.default_rng(2)
+    y = (r.random(400) < 0.6).astype(int)
+    x = r.normal(y * 0.05, 0.04)
+    slope, shift = fit_curve(x, y, 0.8)
+    w, a, b = np.where(y == 1, 0.8 / y.mean(), 0.2 / (1 - y.mean())), 0.0, 0.0
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(a * x / x.std() + b)))
+        a, b = a - 0.005 * (w * (p - y) * x / x.std()).sum() - 5e-6 * a, b - 0.005 * (w * (p - y)).sum() - 5e-6 * b
+    assert abs(slope - a / x.std()) < 0.05 and abs(shift - b) < 0.01
+
+
 def test_no_labels_and_no_rows(spark):
     docs, labels = spark.createDataFrame([(1, "a")], SCHEMA), spark.createDataFrame([], "doc_id long, quality int")
     model = train(docs, labels)
