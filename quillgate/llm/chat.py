@@ -45,7 +45,9 @@ def format_chat(
     in code points and ``loss``, true over each text of a trained role, escapes included,
     markers not. A null role or text is empty; turns with equal numbers are ordered by role
     and text, null numbers first; repeated rows stay. Rows of a null conversation are one
-    conversation. No rows, no output; other columns are ignored.
+    conversation. No rows, no output; other columns are ignored. A conversation is one row
+    of the result, and so has to fit a task's memory several times over (that of a few
+    hundred MB of text does); its rows are not split further.
     """
     rows = turns.select(
         F.col(conv_col).alias("_c"),
@@ -79,7 +81,8 @@ def format_chat(
 
 def read_chat(formatted: DataFrame, conv_col: str = "conv_id", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv, turns, loss_texts) out of ``formatted``: the original turns in order and the
-    texts under the loss mask, unescaped. Needs nothing but the formatted text."""
+    texts of the trained roles, unescaped. Needs nothing but the formatted text; a null or
+    empty one has no turns."""
     blocks = F.split("formatted", r"\Q" + END + r"\E")
     blocks = F.transform(F.slice(blocks, F.lit(1), F.size(blocks) - 1), lambda b: F.substr(b, F.lit(len(TURN) + 1)))
 
@@ -93,6 +96,17 @@ def read_chat(formatted: DataFrame, conv_col: str = "conv_id", trained: tuple[st
     return out.withColumn("loss_texts", F.transform(F.filter("turns", lambda x: x["role"].isin(*trained)), lambda x: x["text"]))
 
 
+def masked_text(formatted: Column, runs: Column) -> Column:
+    """What stands in ``formatted`` under the loss mask, run by run, unescaped."""
+    cut = lambda a, r: unescape(F.substring(formatted, a["at"], r["length"].cast("int")))
+    return F.aggregate(
+        runs,
+        F.struct(F.lit(1).alias("at"), F.lit("").alias("text")),
+        lambda a, r: F.struct((a["at"] + r["length"]).cast("int").alias("at"), F.when(r["loss"], F.concat(a["text"], cut(a, r))).otherwise(a["text"]).alias("text")),
+        lambda a: a["text"],
+    )
+
+
 _PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -103,16 +117,16 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_digests(formatted: DataFrame) -> DataFrame:
-    read = read_chat(formatted.select(F.struct("conv_id", "formatted", "loss_runs").alias("conv"), "formatted"), "conv")
-    loss = F.array_join("loss_texts", "")
+    formatted = formatted.withColumn("loss", masked_text(F.col("formatted"), F.col("loss_runs")))
+    read = read_chat(formatted.select(F.struct("conv_id", "formatted", "loss", F.size(F.filter("loss_runs", lambda r: r["loss"])).alias("spans")).alias("conv"), "formatted"), "conv")
     return read.select(
         F.col("conv.conv_id").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("conv.loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("conv.loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("conv.formatted").cast("long").alias("formatted_chars"),
-        F.size(F.filter("conv.loss_runs", lambda r: r["loss"])).cast("long").alias("loss_spans"),
+        F.col("conv.spans").cast("long").alias("loss_spans"),
     )
 
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillgate.llm.chat import format_chat, read_chat
+from quillgate.llm.chat import format_chat, masked_text, read_chat
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 HARD = ["", "\\", "\\\\n", "<|end|>\n", "<|next|>", "<", "<\\|turn|>", "</s>[INST] ok [/INST]", "<<SYS>>a<</SYS>>", "[\\INST]", "a\n<|turn|>b\n", "é😀\x00", "$1\\$", "<<|next|>"]
@@ -51,5 +51,15 @@ def test_neighbours_of_one_role_share_a_block(spark):
     assert out[1].formatted == "<|turn|>user\na<|next|>b<|end|>\n<|turn|>assistant\nc<|end|>\n"
 
 
+def test_masked_text_is_cut_by_the_mask(spark):
+    rows = [(c, t, role, x) for c, role in ((1, "assistant"), (2, "user")) for t, x in enumerate(HARD)]
+    f = format_chat(spark.createDataFrame(rows, SCHEMA))
+    got = {r.conv_id: r.m for r in f.select("conv_id", masked_text(F.col("formatted"), F.col("loss_runs")).alias("m")).collect()}
+    assert got == {1: "".join(HARD), 2: ""}
+    # a mask that is one off shows
+    off = F.transform("loss_runs", lambda r, i: F.struct((r["length"] + F.when(i == 0, 1).otherwise(0)).alias("length"), r["loss"].alias("loss")))
+    assert f.where("conv_id = 1").select(masked_text(F.col("formatted"), off).alias("m")).first().m != "".join(HARD)
+
+
 def test_empty_table(spark):
     assert format_chat(spark.createDataFrame([], SCHEMA)).count() == 0
