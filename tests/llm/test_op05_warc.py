@@ -1,8 +1,8 @@
-import base64
 import gzip
-import hashlib
 
-from quillgate.llm.warc import assemble, page_ids, parse_warc, read_warc, write_warc
+from pyspark.sql import functions as F
+
+from quillgate.llm.warc import MALFORMED, Capture, assemble, base32_sha1, capture_text, page_ids, parse_warc, read_warc, write_warc
 
 SCHEMA = "page_id long, url string, html string"
 PAGES = [
@@ -13,25 +13,32 @@ PAGES = [
 
 def test_archives_read_back(spark, tmp_path):
     path = f"file://{tmp_path}/w"
-    write_warc(spark.createDataFrame(PAGES, SCHEMA).selectExpr("*", "1 as sha", "2 as keep"), path, per_file=2)
-    got = {r.page_id: r for r in page_ids(assemble(read_warc(spark, path))).collect()}
-    want = {p: (u, h or "") for p, u, h in PAGES}
-    assert set(got) == set(want)  # the repeated page is one capture
-    for p, (url, html) in want.items():
-        r = got[p].response
-        assert r.payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode() and r.target_uri == url
-        assert got[p].request.concurrent_to == got[p].metadata.concurrent_to == got[p].capture_id
-        keep = max(q for q, (_, x) in want.items() if x == html and q is not None)
-        if p == keep:
-            assert r.warc_type == "response" and bytes(r.payload) == html.encode()
-        else:
-            assert r.warc_type == "revisit" and r.refers_to == got[keep].capture_id and r.payload is None
+    write_warc(spark.createDataFrame(PAGES, SCHEMA).selectExpr("*", "1 as sha", "2 as keep", "3 as n", "4 as maybe"), path, per_file=2)
+    got = page_ids(assemble(read_warc(spark, path))).collect()
+    want = [(p, u, h or "") for p, u, h in PAGES]
+    uri = lambda u: u and u.replace("\r", "%0D").replace("\n", "%0A")
+    assert sorted((str(r.page_id), str(r.response.target_uri), r.response.payload_digest) for r in got) == sorted((str(p), str(uri(u)), base32_sha1(h.encode())) for p, u, h in want)
+    by_id = {r.capture_id: r for r in got}
+    assert len(by_id) == len(PAGES)
+    for _, _, html in want:
+        same = [r for r in got if r.response.payload_digest == base32_sha1(html.encode())]
+        (origin,) = (r for r in same if r.response.warc_type == "response")
+        assert bytes(origin.response.payload) == html.encode()
+        assert origin.page_id == max((p for p, _, h in want if h == html and p is not None), default=None)
+        for r in same:
+            assert r.request.concurrent_to == r.metadata.concurrent_to == r.capture_id
+            if r is not origin:
+                assert r.response.warc_type == "revisit" and r.response.refers_to == origin.capture_id and r.response.payload is None
 
 
 def test_small_payloads_are_no_revisits(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     write_warc(spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc")], SCHEMA), path, least=4)
     assert {r.warc_type for r in read_warc(spark, path).collect()} == {"request", "response", "metadata"}
+    rows = [(1, "u", "abc"), (1, "u", "abc"), (2, "u", "abc"), (3, None, "abcd"), (3, None, "abcd")]
+    write_warc(spark.createDataFrame(rows, SCHEMA), path + "2", least=4)
+    got = page_ids(assemble(read_warc(spark, path + "2"))).collect()
+    assert sorted((r.page_id, r.response.warc_type) for r in got) == [(1, "response"), (1, "response"), (2, "response"), (3, "response"), (3, "revisit")]
 
 
 def test_members_orphans_and_either_direction(spark):
@@ -45,12 +52,39 @@ def test_members_orphans_and_either_direction(spark):
     assert [r[1] for r in rows] == ["r1", "q1", "m1", "q2", "m3", "q1"]
     from quillgate.llm.warc import RECORD
 
-    out = {r.capture_id: r for r in assemble(spark.createDataFrame(rows, RECORD).dropDuplicates(["warc_type", "record_id"])).collect()}
-    assert set(out) == {"r1", "gone", "m3"}
+    # records read twice, and a second metadata record and request of one capture
+    more = list(parse_warc(rec("metadata", "m9", "r1") + rec("request", "q9", "r1")))
+    got = assemble(spark.createDataFrame([*rows, *rows, *more], RECORD).withColumn("capture", F.lit(1)).withColumn("of_", F.lit(2))).collect()
+    out = {r.capture_id: r for r in got}
+    assert len(got) == 3 and set(out) == {"r1", "gone", "m3"}
     assert (out["r1"].request.record_id, out["r1"].metadata.record_id) == ("q1", "m1")
     assert out["gone"].response is None and out["gone"].request.record_id == "q2" and out["m3"].response is None
 
 
+def test_malformed_records(spark):
+    def rec(rid, length=2, block="ok"):
+        return f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: {rid}\r\nContent-Length: {length}\r\n\r\n{block}\r\n\r\n".encode()
+
+    kinds = lambda x: [(r[0], r[1]) for r in parse_warc(x)]
+    bad, ok = (MALFORMED, None), lambda i: ("metadata", i)
+    assert kinds(rec("a") + b"junk\r\n\r\n" + rec("b")) == [ok("a"), bad, ok("b")]
+    assert kinds(rec("a") + rec("b", "x") + rec("c")) == [ok("a"), bad, ok("c")]
+    assert kinds(rec("a") + rec("b", 9999) + rec("c")) == [ok("a"), bad, ok("c")]
+    assert kinds(b"WARC/1.1\r\nWARC-Type: metadata\r\n\r\n" + rec("b")) == [bad, ok("b")]
+    assert kinds(rec("a")[:-20]) == [bad] and kinds(b"\x1f\x8bnone") == [bad] and kinds(b"") == []
+    assert kinds(gzip.compress(rec("a") + rec("b"))[:-12])[:1] in ([ok("a")], [bad])
+    from quillgate.llm.warc import RECORD
+
+    rows = list(parse_warc(rec("a") + b"junk\r\n\r\n"))
+    assert [r.capture_id for r in assemble(spark.createDataFrame(rows, RECORD)).collect()] == ["a"]
+
+
+def test_target_uris_are_kept_as_they_are():
+    for url in ("http://a/x%20y", "http://a/100%2525", "http://a/ü"):
+        text = capture_text(Capture(1, url, "s", 1, "00" * 20, 0, ""))
+        assert [r[4] for r in parse_warc((text + "\r\n\r\n").replace("sha1:" + "A" * 32, "").encode())] == [url] * 3
+
+
 def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     write_warc(spark.createDataFrame([], SCHEMA), path)
