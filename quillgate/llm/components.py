@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgate.llm._store import materialise
+from quillgate.llm._store import drop, materialise
 
 #: Edges of a partition between the steps of a round.
 EDGES = 100_000
@@ -16,19 +16,17 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def _large_star(edges: DataFrame, parts: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return (
-        both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    ).coalesce(parts).distinct()
+    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, parts: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     linked = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.union(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
+    return linked.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", most: int = 60) -> DataFrame:
@@ -46,8 +44,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", most:
         if not mark[0]:
             break
         # few edges are kept in few files, whatever the session's number of partitions
-        parts = mark[0] // EDGES + 1
-        e = materialise(_small_star(_large_star(e, parts), parts).coalesce(parts), "cc")
+        before, e = e, materialise(_small_star(_large_star(e)).coalesce(mark[0] // EDGES + 1), "cc")
+        drop(before)
         new = _mark(e)
         if new == mark:
             break

@@ -221,7 +221,7 @@ def _close_lines(texts: DataFrame, keys: Callable[[str], np.ndarray]) -> DataFra
     """(ord) of the lines of ``texts`` (ord, text) that an earlier one is within one edit of."""
     total = texts.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
     buckets = int(total) // BUCKET + 1
-    dealt = texts.mapInArrow(_postings(buckets, keys), "to int, a binary, b binary, c binary").repartition(buckets, "to")
+    dealt = texts.mapInArrow(_postings(buckets, keys), "to int, a binary, b binary, c binary").repartitionById(buckets, "to")
     pairs = dealt.mapInArrow(_meet, "later long, earlier long").distinct()
     of = lambda n, t: texts.select(F.col("ord").alias(n), F.col("text").alias(t))
     told = pairs.join(of("later", "x"), "later").join(of("earlier", "y"), "earlier")

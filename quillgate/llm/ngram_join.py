@@ -16,8 +16,9 @@ What surrounds it makes it run distributed, without losing a link:
    doesn't keep a document in.
 3. Of the shared ones, the rarest suffice to bring linked classes together; each list
    ties its classes to its smallest class, and components of these ties are the blocks.
-4. In each block DivideSkip finds the links. A block of many shingles is cut into chunks
-   and searched chunk against chunk by several tasks.
+4. In each block DivideSkip finds the links. A block of many shingles is cut into bands of
+   set sizes, and these into chunks; linked sets are in one band or in two that adjoin, so a
+   chunk is searched against those of three bands only, each pair of chunks by a task.
 5. Every task returns for each class the number of linked rows and the class its own
    links lead to: rows as many as classes, however many links there are.
 
@@ -29,7 +30,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from itertools import groupby
-from math import log2
+from math import log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgate.llm._packed import packed, spread
+from quillgate.llm._sketch import marked, sketch
 from quillgate.llm._store import materialise
 from quillgate.llm._words import batches, mix64, shingle_sets
 from quillgate.llm.components import connected_components
@@ -79,7 +81,7 @@ def _u64(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def set_profiles(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, h1, h2): size and 128-bit digest of each row's set."""
+    """(id, th, n, h1, h2): hash of each row's text, size and 128-bit digest of its set."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -87,12 +89,12 @@ def set_profiles(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
                 sets = shingle_sets(texts, width)
                 h = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])],
-                    names=["_id", "n", "h1", "h2"],
+                    [*(batch.column(c).slice(first, len(texts)) for c in ("_id", "th")), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])],
+                    names=["_id", "th", "n", "h1", "h2"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, n long, h1 long, h2 long")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("th")).mapInArrow(run, f"_id {kind}, th long, n long, h1 long, h2 long")
 
 
 def _postings(docs: DataFrame, text_col: str, width: int, percent: int, buckets: int) -> DataFrame:
@@ -250,16 +252,15 @@ class Block:
 
 
 def _searched(percent: int):
-    """Step 4: rows (unit, side, node, rows, least id, set) to (node, root, links)."""
+    """Step 4: rows (unit, cross, side, node, rows, set), by unit, to (node, root, links)."""
 
-    def unit(rows: list[tuple]) -> tuple[list[int], list[int], list[int]]:
+    def unit(rows: list[tuple], cross: bool) -> tuple[list[int], list[int], list[int]]:
         seen: dict[int, tuple] = {}
         for r in rows:
             seen.setdefault(r[1], r)
         rows = sorted(seen.values(), key=lambda r: (len(r[3]), r[1]))
         side, node, weight = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
         block = Block([np.frombuffer(r[3], np.uint64) for r in rows], percent)
-        cross = len(set(side.tolist())) > 1
         parent, links = list(range(len(rows))), np.zeros(len(rows), np.int64)
 
         def root(x: int) -> int:
@@ -282,13 +283,13 @@ def _searched(percent: int):
         own = np.flatnonzero(links)
         return node[own].tolist(), [int(node[root(x)]) for x in own.tolist()], links[own].tolist()
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: dict[str, list[tuple]] = {}
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in it:
-            for u, *r in zip(*(b.column(c).to_pylist() for c in ("unit", "side", "node", "rows", "set"))):
-                units.setdefault(u, []).append(tuple(r))
-        for rows in units.values():
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in unit(rows)], names=["node", "root", "links"])
+            yield from zip(*(b.column(c).to_pylist() for c in ("unit", "cross", "side", "node", "rows", "set")))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, cross), own in groupby(rows(it), key=lambda r: r[:2]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in unit([r[2:] for r in own], cross)], names=["node", "root", "links"])
 
     return run
 
@@ -304,46 +305,57 @@ def _sets(width: int):
                 own = [i for i, s in enumerate(sets) if _digest(s) == (h1[first + i], h2[first + i])]
                 rows = batch.take(pa.array([first + i for i in own], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in ("comp", "parts", "h1", "rows")), pa.array([sets[i].tobytes() for i in own], pa.binary())],
-                    names=["comp", "parts", "node", "rows", "set"],
+                    [*(rows.column(c) for c in ("comp", "band", "parts", "below", "above", "node", "rows")), pa.array([sets[i].tobytes() for i in own], pa.binary())],
+                    names=["comp", "band", "parts", "below", "above", "node", "rows", "set"],
                 )
 
     return run
 
 
+def _banded(candidates: DataFrame, percent: int) -> DataFrame:
+    """Adds band, and how many chunks it and its neighbours have: 0 where the whole block is
+    searched at once."""
+    # a little wider than the sizes of linked sets can differ, so rounding never skips a band
+    band = F.floor(F.ln(F.col("n")) / F.lit(log(100 / percent * (1 + 1e-9)))).cast("int") if percent < 100 else F.col("n").cast("int")
+    c = candidates.withColumn("band", band)
+    large = c.groupBy("comp").agg(F.sum("n").alias("all")).where(F.col("all") > CHUNK).select("comp")
+    bands = materialise(c.join(large, "comp", "left_semi").groupBy("comp", "band").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("parts")), "ngram-bands")
+    for name, by in (("parts", 0), ("below", -1), ("above", 1)):
+        near = bands.select(F.col("comp").alias("bc"), (F.col("band") - by).alias("bb"), F.col("parts").alias(name))
+        c = c.join(near, (F.col("comp") == F.col("bc")) & (F.col("band") == F.col("bb")), "left").drop("bc", "bb").fillna(0, [name])
+    return c
+
+
+def _units(with_sets: DataFrame, few: int) -> DataFrame:
+    """A row for each unit that a set takes part in."""
+    chunk = F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("int")
+    numbers = lambda n, band: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), lambda k: F.struct((F.col("band") + band).alias("band"), k.alias("chunk")))).otherwise(F.array().cast("array<struct<band:int,chunk:int>>"))
+    u = with_sets.withColumn("own", F.struct("band", chunk.alias("chunk")))
+    u = u.withColumn("other", F.explode(F.when(F.col("parts") > 0, F.concat(numbers("below", -1), numbers("parts", 0), numbers("above", 1))).otherwise(F.array("own"))))
+    name = F.when(F.col("parts") > 0, F.concat_ws("/", F.col("comp").cast("string"), *(f("own", "other")[x].cast("string") for f in (F.least, F.greatest) for x in ("band", "chunk"))))
+    alone = F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(few)).cast("string"))
+    return u.select(F.coalesce(name, alone).alias("unit"), (F.col("own") != F.col("other")).alias("cross"), F.xxhash64("own").alias("side"), "node", "rows", "set")
+
+
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(node, root, links) from every block that has links; node is the class's h1."""
+    """(node, root, links) from every block that has links; a node is a class's number."""
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(total) * 3 // 10 // BUCKET + 1
-    shared = _postings(docs, text_col, width, percent, buckets).repartition(buckets, "to").mapInArrow(_shared(buckets, percent), "to int, a binary, b binary, c binary")
+    shared = _postings(docs, text_col, width, percent, buckets).repartitionById(buckets, "to").mapInArrow(_shared(buckets, percent), "to int, a binary, b binary, c binary")
     fewer = buckets // 4 + 1
-    routes = shared.repartition(buckets, "to").mapInArrow(_routes(fewer, percent), "to int, a binary, b binary")
-    ties = routes.repartition(fewer, "to").mapInArrow(_ties, "u long, v long")
+    routes = shared.repartitionById(buckets, "to").mapInArrow(_routes(fewer, percent), "to int, a binary, b binary")
+    ties = routes.repartitionById(fewer, "to").mapInArrow(_ties, "u long, v long")
     blocks = connected_components(ties)
-    candidates = classes.join(blocks.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key")
-    candidates = materialise(candidates, "ngram-candidates")
+    candidates = materialise(classes.join(blocks.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key"), "ngram-candidates")
     few = int(candidates.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // CHUNK + 1
-    parts = candidates.groupBy("comp").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("parts"))
-    candidates = candidates.join(parts, "comp").select(F.col("rep").alias("_id"), "h1", "h2", "comp", "rows", "parts")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    with_sets = (
-        texts.join(candidates, "_id")
-        .select("_t", "h1", "h2", "comp", "rows", "parts")
-        .mapInArrow(_sets(width), "comp long, parts long, node long, rows long, set binary")
-    )
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")
-    units = (
-        with_sets.withColumn("side", F.when(F.col("parts") > 1, part).otherwise(0).cast("long"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .withColumn(
-            "unit",
-            F.when(F.col("parts") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(few)).cast("string"))).otherwise(
-                F.concat_ws("/", F.col("comp").cast("string"), F.least("side", "other").cast("string"), F.greatest("side", "other").cast("string"))
-            ),
-        )
-    )
-    spread = max(few * 4, 1)
-    return units.select("unit", "side", "node", "rows", "set").repartition(spread, "unit").mapInArrow(_searched(percent), "node long, root long, links long")
+    wanted = materialise(_banded(candidates, percent).select(F.col("rep").alias("_w"), F.col("rep_th").alias("_h"), "h1", "h2", "comp", "node", "rows", "band", "parts", "below", "above"), "ngram-wanted")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("th"))
+    # only texts that represent a candidate are shuffled
+    texts = marked(texts, F.xxhash64("_id", "th"), sketch(wanted, F.xxhash64("_w", "_h")), "maybe").where("maybe")
+    found = texts.join(wanted, (F.col("_id") == F.col("_w")) & (F.col("th") == F.col("_h"))).select("_t", "h1", "h2", "comp", "band", "parts", "below", "above", "node", "rows")
+    with_sets = found.mapInArrow(_sets(width), "comp long, band int, parts int, below int, above int, node long, rows long, set binary")
+    units = _units(with_sets, few).repartition(few * 4, "unit").sortWithinPartitions("unit", "cross")
+    return units.mapInArrow(_searched(percent), "node long, root long, links long")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -356,16 +368,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of their own. An empty table gives no rows; other columns are not looked at.
     """
     profile = materialise(set_profiles(docs, id_col, text_col, width), "ngram-profile")
-    classes = profile.where("n > 0 and _id is not null").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")).withColumn("key", _key_column())
-    classes = materialise(classes, "ngram-classes")
+    classes = profile.where("n > 0 and _id is not null").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.min_by("th", "_id").alias("rep_th"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    classes = materialise(classes.withColumn("key", _key_column()).withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
     found = materialise(_links(docs, classes, id_col, text_col, width, percent), "ngram-links")
     linked = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    least = (
-        linked.join(classes.select(F.col("h1").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
-    )
-    of = linked.join(least, "component").select(F.col("node").alias("h1"), "least")
-    links = found.groupBy(F.col("node").alias("h1")).agg(F.sum("links").alias("links"))
-    by_class = classes.select("h1", "h2", "rep", "rows").join(of, "h1", "left").join(links, "h1", "left")
+    least = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    of = linked.join(least, "component").select("node", "least")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    by_class = classes.select("h1", "h2", "node", "rep", "rows").join(of, "node", "left").join(links, "node", "left")
     own = (F.col("n_shingles") > 0) & F.col("_id").isNotNull()
     return (
         profile.withColumnRenamed("n", "n_shingles")

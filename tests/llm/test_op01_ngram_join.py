@@ -77,6 +77,23 @@ def test_empty_table(spark):
     assert ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 100])
+def test_other_bounds_and_sizes_next_to_bands(spark, percent, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 60)
+    base = [f"v{k}" for k in range(90)]
+    rows = [(n, " ".join(base[: n + 4])) for n in range(1, 80)] + [(200 + n, " ".join(base[:n])) for n in (9, 24, 25)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    links = {(a, b) for a, x in rows for b, y in rows if a != b and 100 * (min(s := len(x.split()) - 4, t := len(y.split()) - 4)) >= percent * max(s, t)}
+    assert {r.doc_id: r.n_links for r in got} == {a: sum(x == a for x, _ in links) for a, _ in rows}
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    rows = corpus(9, 60)
+    rows = [(i % 5, t) for i, t in rows]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
+
+
 def test_many_near_copies_of_one_text(spark):
     r = random.Random(5)
     base = [f"v{k}" for k in range(120)]
