@@ -46,3 +46,54 @@ def test_stages(steps):
     for r in packed:
         first[r["doc_id"]] = first.get(r["doc_id"], 0) + (r["piece"] == 0)
     assert first == times
+
+
+CLASHING = ["row_key", "row_component", "row_maybe", "row_of", "row_times", "row_copy", "gone_file", "file", "row", "sketch_w", "maybe"]
+
+
+@pytest.fixture(scope="module")
+def labels_dir(spark, tmp_path_factory):
+    root = f"file://{tmp_path_factory.mktemp('labels')}"
+    rows = [(1000 + k, 1, int(k % 8 == 1)) for k in range(160)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    return root
+
+
+def stages_of(spark, rows, sf_dir):
+    """The rows that each stage keeps, all of them with columns that clash."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = docs.selectExpr("*", *(f"doc_id as {c}" for c in CLASHING))
+    out = []
+    for _, stage in P.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+        assert all(r[c] == r["doc_id"] for r in docs.collect() for c in CLASHING)
+        out.append([(r.doc_id, r.text) for r in docs.collect()])
+    return out, P.STAGES[-1][1](spark, docs, sf_dir).collect()
+
+
+def test_edge_rows(spark, labels_dir):
+    row = lambda i, t, s="a": (i, t, None, s, None)
+    near = [f"v{k}" for k in range(60)]
+    good = [row(1000 + k, f"some quiet words {k} and others {k * k} of no harm " + " ".join(f"{k}x{j}" for j in range(20))) for k in range(160) if k % 8 != 1]
+    bad = [row(1000 + k, f"you idiot {k} go " + " ".join(f"{k}y{j}" for j in range(20))) for k in range(160) if k % 8 == 1]
+    edge = [
+        row(100, None), row(101, ""), row(102, " "), row(5000, "long " * 60_000), row(None, "no id at all, one"), row(None, "another without id"), row(103, "source unknown here", None),
+        row(50, "text A one two three four five"), row(30, "text A one two three four five"), row(50, "text B is not at all like it"),
+        row(60, " ".join(near)), row(61, " ".join(near[:-1])), row(61, "shares the id of a copy only"), row(62, " ".join(near)), row(62, " ".join(near)),
+    ]
+    (clean, once, apart, mixed), packed = stages_of(spark, good + bad + edge, labels_dir)
+    ids = lambda rows: sorted((i for i, _ in rows), key=lambda i: (i is None, i or 0))
+    assert set(ids(clean)) == {r[0] for r in good + edge} and len(clean) == len(good + edge)
+    texts = [t or "" for _, t in once]
+    assert len(texts) == len(set(texts)) == len({r[1] or "" for r in good + edge})
+    assert all(i == max((r[0] for r in good + edge if (r[1] or "") == (t or "") and r[0] is not None), default=None) for i, t in once)
+    # 61 without the last word is near 62, which stays for nothing: the smallest id does
+    gone = sorted(set(once) - set(apart), key=str)
+    assert gone == [(62, " ".join(near))] and (61, "shares the id of a copy only") in apart and (50, "text B is not at all like it") in apart
+    assert set(mixed) <= set(apart) and not {t for _, t in mixed} & {None, "", " "}
+    assert sorted({str(r.doc_id) for r in packed}) == sorted({str(i) for i, _ in mixed})
+
+
+def test_empty_table(spark, labels_dir):
+    out, packed = stages_of(spark, [], labels_dir)
+    assert out == [[], [], [], []] and packed == []
