@@ -33,9 +33,10 @@ def can_proceed(state: Column) -> Column:
     return F.coalesce(state == "SAFE", F.lit(False))
 
 
-def retry_class(variant: Column, target_path: Column, target_label: Column, content: Column) -> Column:
-    """struct<retryable, requires_confirmation, reason>."""
-    words = F.lower(F.concat_ws(" ", target_path, target_label, content))
+def retry_class(variant: Column, target_path: Column, target_label: Column, content: Column, target_json: Column | None = None) -> Column:
+    """struct<retryable, requires_confirmation, reason>; ``target_json`` is all of the target,
+    in any part of which a harmful word counts."""
+    words = F.lower(F.concat_ws(" ", target_path, target_label, content, *([] if target_json is None else [target_json])))
     harmful = F.exists(F.array(*map(F.lit, P.DESTRUCTIVE_WORDS)), lambda w: F.contains(words, w))
     told = lambda retry, reason: F.struct(F.lit(retry).alias("retryable"), F.lit(not retry).alias("requires_confirmation"), F.lit(reason).alias("reason"))
     return (
@@ -87,6 +88,18 @@ def status_level(blocked: Column, running: Column, model: Column, ocr: Column) -
     )
 
 
+def status_title(blocked: Column, running: Column, model: Column, ocr: Column) -> Column:
+    return (
+        F.when(F.coalesce(blocked, F.lit("")) != "", P.STATUS["blocked"])
+        .when(_on(running, False), P.STATUS["running"])
+        .when(model == "loading", P.STATUS["loading"])
+        .when(model == "unavailable", P.STATUS["unavailable"])
+        .when(ocr == F.lit(False), P.STATUS["no_ocr"])
+        .when(model == "ready", P.STATUS["ready"])
+        .otherwise(P.STATUS["other"])
+    )
+
+
 def pipeline_steps(blocked: Column, running: Column, model: Column, ocr: Column, regions: Column, scan_ok: Column) -> Column:
     """array<struct<id, state>> of the five steps."""
     stop, run, good = F.coalesce(blocked, F.lit("")) != "", _on(running, False), _on(scan_ok, False)

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from quillgate.functions import patterns as P
 from quillgate.functions.text import sanitize_text
 
-STRIPPED = ["value", "inner_text", "text_content", "data", "src", "href", "action", "file_name"]
-TEXTS = ["label", "placeholder", "name", "alt", "aria_label", "title"]
-LOCAL_ONLY = ["selector_path", "value", "file_data_url", "file_name"]
+def _spellings(names: list[str]) -> set[str]:
+    """Names as they are, and in small letters with underscores."""
+    return {x for n in names for x in (n, "".join(f"_{c.lower()}" if c.isupper() else c for c in n))}
+
+
+STRIPPED, TEXTS, LOCAL_ONLY = (_spellings(x) for x in (P.STRIPPED_FIELDS, P.TEXT_FIELDS, P.LOCAL_FIELDS))
 
 
 def classify_field(input_type: Column, autocomplete: Column, name: Column, id: Column, label: Column, placeholder: Column) -> Column:
@@ -29,12 +32,24 @@ def classify_field(input_type: Column, autocomplete: Column, name: Column, id: C
     return F.struct(category.isNotNull().alias("sensitive"), category.alias("category"), reasons.alias("reasons"))
 
 
+def sanitize_dom_field(field: Column, names: list[str]) -> Column:
+    """The struct with its values marked and its texts sanitized; nulls stay."""
+    own = lambda n: F.when(field[n].isNotNull(), "[REDACTED]") if n in STRIPPED else sanitize_text(field[n]) if n in TEXTS else field[n]
+    return F.struct(*(own(n).alias(n) for n in names))
+
+
+def strip_local_only(field: Column, names: list[str]) -> Column:
+    """The struct without what must not leave the machine."""
+    return F.struct(*(field[n].alias(n) for n in names if n not in LOCAL_ONLY))
+
+
 def sanitize_field(field: Column, names: list[str]) -> Column:
-    """The struct without what is local only, values marked, texts sanitized."""
-    out = []
-    for n in names:
-        if n in LOCAL_ONLY:
-            continue
-        v = field[n]
-        out.append((F.when(v.isNotNull(), "[REDACTED]") if n in STRIPPED else sanitize_text(v) if n in TEXTS else v).alias(n))
-    return F.struct(*out)
+    """Both: what may be sent of a field."""
+    kept = [n for n in names if n not in LOCAL_ONLY]
+    return sanitize_dom_field(field, kept)
+
+
+def sanitize_snapshot(fields: Column, media: Column, url: Column, title: Column, field_names: list[str], media_names: list[str]) -> Column:
+    """struct<fields, media_candidates, url, title> that may be sent; null lists are empty."""
+    each = lambda a, names: F.transform(F.coalesce(a, F.array()), lambda f: sanitize_field(f, names))
+    return F.struct(each(fields, field_names).alias("fields"), each(media, media_names).alias("media_candidates"), sanitize_text(url).alias("url"), sanitize_text(title).alias("title"))

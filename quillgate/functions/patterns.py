@@ -138,3 +138,22 @@ ACTIVITY_EVENTS = [
 SAFE_VARIANTS = ["mouse:scroll", "keyboard:tab", "browser:tab:switch"]
 PRIVATE_VARIANTS = ["local:fill_credential", "browser:upload_file"]
 DESTRUCTIVE_WORDS = ["submit", "pay", "payment", "confirm", "send", "delete", "remove", "place_order", "checkout", "transfer", "purchase", "sign"]
+
+# fixed values: settings by default, as text
+DEFAULT_SETTINGS = {
+    "LOCAL_FIRST": "true", "ALLOW_REMOTE_REASONING": "true", "PRIVACY_MODE": "strict", "LOCAL_VLM_MODEL": "", "LOCAL_VLM_DEVICE": "auto", "LOCAL_VLM_DTYPE": "auto", "REMOTE_ENDPOINT": "", "REMOTE_API_KEY": "",
+    "MAX_STEPS": "25", "CHANGE_DETECTION_THRESHOLD": "0.02", "FAIL_CLOSED": "true", "ENABLE_FACE_REDACTION": "true", "ENABLE_QR_BARCODE": "true", "ENABLE_SIGNATURE": "true", "ACTIVITY_RETENTION": "50",
+}
+
+# fixed values: why there is no plan
+PLAN_EMPTY, PLAN_UNREAD, PLAN_WITHOUT_ACTIONS = "Empty remote response", "Remote plan is no JSON", "Remote plan missing actions[]"
+
+# fixed values: keys of a form field that are marked, sanitized, or kept on the machine
+STRIPPED_FIELDS = ["value", "innerText", "textContent", "data", "src", "href", "action", "fileName", "file_name"]
+TEXT_FIELDS = ["label", "placeholder", "name", "alt", "ariaLabel", "title"]
+LOCAL_FIELDS = ["selectorPath", "value", "fileDataUrl", "fileName"]
+
+# fixed values: status by level
+STATUS = {
+    "blocked": "Request blocked", "running": "Processing locally", "loading": "Loading local model", "unavailable": "Local model unavailable", "no_ocr": "Needs attention", "ready": "Protected locally", "other": "Protected",
+}

@@ -103,3 +103,10 @@ def ocr_decision(text: Column, confidence: Column) -> Column:
         return F.struct(hit.alias("sensitive"), F.when(hit, first["category"]).alias("category"), F.when(hit, F.coalesce(own, first["confidence"])).alias("confidence"), F.size(h).alias("findings_count"))
 
     return let(high, decided)
+
+
+def ocr_regions(lines: Column) -> Column:
+    """array<struct<category, bbox, confidence>> of a page's recognised lines (structs of text,
+    confidence, bbox): those that are sensitive and have a box. Texts aren't passed on."""
+    told = F.transform(lines, lambda x: F.struct(ocr_decision(x["text"], x["confidence"]).alias("d"), x["bbox"].alias("bbox")))
+    return F.transform(F.filter(told, lambda x: x["d"]["sensitive"] & x["bbox"].isNotNull()), lambda x: F.struct(x["d"]["category"].alias("category"), x["bbox"].alias("bbox"), x["d"]["confidence"].alias("confidence")))

@@ -1,46 +1,94 @@
-"""Leak scan of nested payloads: the walk is one explode per level, leaves are scanned by
-expressions, findings come back per payload."""
+"""Leak scan of nested payloads: one pass walks a payload in the order of its text, leaves
+are scanned by expressions, findings come back per payload."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgate.functions import leaks
 from quillgate.functions import patterns as P
 
-DEPTH = 12
+#: Findings that a blocked payload is reported with; nodes of a batch of the walk.
+TOLD, BATCH = 10, 20_000
+_NODES = "ord long, path string, key string, kind string, s string, level int"
 
 
-def walk(payloads: DataFrame, id_col: str, json_col: str, depth: int = DEPTH) -> DataFrame:
-    """(id, path, key, value, level) of every node but nulls. A payload that is no JSON is
-    one string."""
-    spark = payloads.sparkSession
-    level = payloads.select(
-        F.col(id_col).alias("id"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.coalesce(F.try_parse_json(json_col), F.col(json_col).cast("variant")).alias("v"), F.lit(0).alias("level")
-    )
-    every = level
-    for n in range(1, depth + 1):
-        level = spark.sql(
-            "SELECT p.id, CASE WHEN e.key IS NULL THEN concat(p.path, '[', e.pos, ']') ELSE concat(p.path, '.', e.key) END AS path, e.key, e.value AS v, level + 1 AS level "
-            "FROM {level} p, LATERAL variant_explode(p.v) e",
-            level=level,
-        )
-        every = every.union(level)
-    return every
+def nodes_of(payload: str | None) -> Iterator[tuple]:
+    """(path, key, kind, s, level) of every node, depth first, in the order of the text; kind
+    is object, array, string or other, s a string's value. What is no JSON is one string;
+    what nests deeper than the parser goes is one node of kind unread."""
+    if payload is None:
+        return
+    try:
+        tree = json.loads(payload)
+    except ValueError:
+        tree = payload
+    except RecursionError:
+        yield "$", None, "unread", None, 0
+        return
+    todo = [("$", None, tree, 0)]
+    while todo:
+        path, key, v, level = todo.pop()
+        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "string" if isinstance(v, str) else "other"
+        # lone surrogates can't leave as UTF-8
+        yield path, key, kind, v.encode("utf-8", "replace").decode() if kind == "string" else None, level
+        if kind == "object":
+            todo += [(f"{path}.{k}", k, x, level + 1) for k, x in reversed(v.items())]
+        elif kind == "array":
+            todo += [(f"{path}[{k}]", None, x, level + 1) for k, x in reversed(list(enumerate(v)))]
+
+
+def walk(payloads: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, ord, path, key, kind, s, level) of every node of every payload, as of
+    :func:`nodes_of`, numbered in order. Null payloads have none; null ids and repeated rows
+    stay; an empty table gives no rows; other columns are not looked at."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
+        for b in it:
+            at, rows = [], []
 
+            def out(b: pa.RecordBatch = b) -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+                return pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), *columns], names=["id", *(x.split()[0] for x in _NODES.split(", "))])
 
-def payload_leaks(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "payload", depth: int = DEPTH) -> DataFrame:
-    """(id, path, category, match, confidence). What is nested deeper than ``depth`` can't be
-    told safe and is a finding of its own."""
-    nodes = walk(payloads, id_col, json_col, depth).withColumn("kind", F.schema_of_variant("v")).withColumn("s", F.when(F.col("kind") == "STRING", F.try_variant_get("v", "$", "string")))
+            for i, text in enumerate(b.column("payload").to_pylist()):
+                for n, node in enumerate(nodes_of(text)):
+                    at.append(i)
+                    rows.append((n, *(x.encode("utf-8", "replace").decode() if isinstance(x, str) else x for x in node)))
+                    if len(at) >= BATCH:
+                        yield out()
+                        at, rows = [], []
+            yield out()
+
+    kind = payloads.schema[id_col].dataType.simpleString()
+    return payloads.select(F.col(id_col).alias("id"), F.col(json_col).cast("string").alias("payload")).mapInArrow(run, f"id {kind}, {_NODES}")
+
+
+def payload_leaks(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "payload", depth: int | None = None) -> DataFrame:
+    """(id, path, category, match, confidence, ord): ``ord`` has the order of a payload's
+    findings. There is no bound of depth unless one is given; then what is nested deeper, as
+    always what can't be read, can't be told safe and is a finding of its own. Nulls, repeats
+    and empty tables as in :func:`walk`."""
+    nodes = walk(payloads, id_col, json_col)
+    if depth is not None:
+        nodes = nodes.where(F.col("level") <= depth)
     key = F.lower("key")
     fixed = lambda when, category, match, confidence: F.array_compact(F.array(F.when(when, leaks._leak(category, match, confidence))))
     none = F.lit(None).cast("string")
     image, secret = key.isin(P.IMAGE_KEYS), key.isin(P.SENSITIVE_KEYS)
     entropy = (F.length("s") >= 16) & F.col("s").rlike("[A-Za-z0-9]")
-    deep = (F.col("level") == depth) & (F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"))
-    found = F.flatten(
+    deep = F.col("kind") == "unread"
+    if depth is not None:
+        deep = deep | ((F.col("level") == depth) & F.col("kind").isin("object", "array"))
+    base = leaks.is_base64(F.col("s"))
+    place = lambda found, path: F.transform(found, lambda f: F.struct(path.alias("path"), *(f[c].alias(c) for c in ("category", "match", "confidence"))))
+    direct = F.flatten(
         F.array(
             fixed(image & F.col("s").isNotNull(), "original_image_data", none, 1.0),
             fixed(secret, "sensitive_key", none, 0.9),
@@ -49,13 +97,32 @@ def payload_leaks(payloads: DataFrame, id_col: str = "payload_id", json_col: str
             leaks.scan_text(F.col("s"), None),
         )
     )
-    direct = nodes.select("id", "path", F.explode(found).alias("f"))
-    coded = nodes.where(leaks.is_base64(F.col("s"))).select("id", F.concat("path", F.lit(" (base64)")).alias("path"), F.explode(leaks.scan_base64(F.col("s"))).alias("f"))
-    return direct.union(coded).select(F.col("id").alias(id_col), "path", "f.*")
+    own = place(direct, F.col("path"))
+    coded = place(leaks.scan_base64(F.col("s")), F.concat("path", F.lit(" (base64)")))
+    found = F.concat(own, F.when(F.coalesce(base, F.lit(False)), coded).otherwise(F.slice(own, 1, 0)))
+    told = nodes.select("id", "ord", F.posexplode(found).alias("at", "f"))
+    return told.select(F.col("id").alias(id_col), "f.*", F.struct("ord", "at").alias("ord"))
+
+
+def payload_gate(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "payload", depth: int | None = None) -> DataFrame:
+    """(id, safe, n_findings, findings): findings are the first ten of the walk as
+    category@path. A null payload is safe; rows that repeat an id count their findings
+    together. An empty table gives no rows."""
+    f = payload_leaks(payloads, id_col, json_col, depth).withColumnRenamed(id_col, "_of")
+    by = f.groupBy("_of").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ord", F.concat_ws("@", "category", "path").alias("v")))).alias("all"))
+    by = by.select("_of", "n", F.transform(F.slice("all", 1, TOLD), lambda x: x["v"]).alias("findings"))
+    ids = payloads.select(F.col(id_col).alias("_id"))
+    return ids.join(by, F.col("_id").eqNullSafe(F.col("_of")), "left").select(
+        F.col("_id").alias(id_col), F.col("n").isNull().alias("safe"), F.coalesce("n", F.lit(0)).alias("n_findings"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings")
+    )
 
 
-def payload_gate(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "payload") -> DataFrame:
-    """(id, safe, findings): findings are the first ten as category@path."""
-    f = payload_leaks(payloads, id_col, json_col)
-    by = f.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(F.concat_ws("@", "category", "path"))), 1, 10).alias("findings"))
-    return payloads.select(id_col).join(by, id_col, "left").select(id_col, F.col("n").isNull().alias("safe"), F.coalesce("n", F.lit(0)).alias("n_findings"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings"))
+def send_gated(payloads: DataFrame, path: str, quarantine: str, id_col: str = "payload_id", json_col: str = "payload") -> None:
+    """The single way out: payloads without a finding are appended to ``path``, the others,
+    without their content, to ``quarantine`` with what was found. Rows that share an id with
+    a blocked one are blocked; a null id is an id like any other."""
+    told = payload_gate(payloads.select(id_col, json_col), id_col, json_col).distinct().select(F.struct(F.col(id_col).alias("id"), "safe", "n_findings", "findings").alias("told"))
+    # the two sides are structs, so no column of the payloads can clash
+    both = payloads.select(F.struct(*payloads.columns).alias("own")).join(told, F.col(f"own.`{id_col}`").eqNullSafe(F.col("told.id")))
+    both.where("told.safe").select("own.*").write.mode("append").parquet(path)
+    both.where("not told.safe").select(F.col("told.id").alias(id_col), "told.n_findings", "told.findings").distinct().write.mode("append").parquet(quarantine)

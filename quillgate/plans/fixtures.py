@@ -49,3 +49,24 @@ PAYLOADS = [
     (6, '{"fileDataUrl":"x"}', False), (7, '{"d":"data:text/plain;base64,QUJDREUxMjM0RiBhbmQgbW9yZQ=="}', False), (8, '{"t":"mail a%40b.co"}', False), (9, '{"t":"ＡＢＣＤＥ１２３４Ｆ"}', False),
     (10, '{"f":"pan-card-scan.png"}', False), (11, "[[[[[[[[[[[[[[1]]]]]]]]]]]]]]", False), (12, "no json", True), (13, None, True), (14, '{"n":9876543210,"ok":true}', True), (15, '{"p":"call 9876543210"}', False),
 ]
+
+ORDERED_PAYLOADS = [
+    (0, '{"z":"write to a@b.co","a":{"password":1},"m":"or c@d.org"}', "email@$.z, sensitive_key@$.a.password, email@$.m"),
+    (1, '{"t":["a@b.co","a@b.co"],"otp":null}', "email@$.t[0], email@$.t[1], sensitive_key@$.otp"),
+    (2, "[" + ",".join(['"a@b.co"'] * 12) + "]", ", ".join(f"email@$[{k}]" for k in range(10))),
+    (3, "[" * 40 + '"a@b.co"' + "]" * 40, "email@$" + "[0]" * 40), (4, '{"n":{"deep":{"er":"quiet"}}}', ""), (5, None, ""), (6, "plain a@b.co", "email@$"),
+]
+
+PERCEPTIONS = [
+    (0, '{"elements":[{"type":"button","label":"Next","bbox":{"x":10,"y":5,"width":20,"height":10},"sensitive":false,"confidence":0.9}]}', "button|Next|false|0.9|10|5|20|10", False),
+    (1, 'Sure:\n```json\n{"elements":[{"label":"Card"}]}\n```\nDone.', "element|Card|true|0.5|0|0|100|50", False),
+    (2, '{"elements":[{"type":"","bbox":{"x":-5,"y":70,"width":"9","height":500},"sensitive":null,"confidence":"high"}]} trailing', "element|-|true|0.5|0|50|0|50", False),
+    (3, '{"elements":[]}', "", False), (4, '{"elements":{}}', "unknown_region|-|true|0.0|0|0|100|50", True), (5, "no json here", "unknown_region|-|true|0.0|0|0|100|50", True),
+    (6, "", "unknown_region|-|true|0.0|0|0|100|50", True), (7, None, "unknown_region|-|true|0.0|0|0|100|50", True), (8, '{"elements":[{"sensitive":"false","bbox":null}', "unknown_region|-|true|0.0|0|0|100|50", True),
+    (9, '{"elements":[{"sensitive":"false","bbox":null},{"sensitive":false}]}', "element|-|true|0.5|0|0|100|50; element|-|false|0.5|0|0|100|50", False),
+]
+
+PLANS = [
+    (0, '{"actions":[{"variant":"mouse:click"},{"variant":"keyboard:enter"}],"done":false}', 2, None), (1, '```\n{"actions":[]}\n```', 0, None), (2, "", None, "Empty remote response"), (3, None, None, "Empty remote response"),
+    (4, '{"done":true}', None, "Remote plan missing actions[]"), (5, "{nothing}", None, "Remote plan is no JSON"), (6, 'I say {"actions":[1]} and stop', 1, None),
+]

@@ -12,6 +12,7 @@ from quillgate.functions import leaks
 from quillgate.functions import patterns as P
 from quillgate.functions.documents import classify, file_evidence, redaction_label, text_evidence
 from quillgate.functions.fields import classify_field
+from quillgate.functions.perception import parse_perception, parse_plan
 from quillgate.functions.regex import java, re2, sql
 from quillgate.functions.text import findings, sanitize_text
 from quillgate.operators import gate, pixels, vault
@@ -257,7 +258,28 @@ def payload_gate_conversations(spark: SparkSession, d: str) -> DataFrame:
 @query("payload_gate_cases", "SELECT id AS payload_id, expect AS safe FROM " + X.values([(i, e) for i, _, e in X.PAYLOADS], "id, expect"))
 def payload_gate_cases(spark: SparkSession, d: str) -> DataFrame:
     p = spark.createDataFrame([(i, t) for i, t, _ in X.PAYLOADS], "payload_id int, payload string")
-    return payload_gate(p).select("payload_id", "safe")
+    return payload_gate(p, depth=12).select("payload_id", "safe")
+
+
+@query("payload_gate_findings", "SELECT id AS payload_id, findings FROM " + X.values([(i, f) for i, _, f in X.ORDERED_PAYLOADS], "id, findings"))
+def payload_gate_findings(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten findings, in the order of the payload's text, repeats kept."""
+    p = spark.createDataFrame([(i, t) for i, t, _ in X.ORDERED_PAYLOADS], "payload_id int, payload string")
+    return payload_gate(p).select("payload_id", F.array_join("findings", ", ").alias("findings"))
+
+
+@query("perception_cases", "SELECT id, elements, failed FROM " + X.values([(i, e, f) for i, _, e, f in X.PERCEPTIONS], "id, elements, failed"))
+def perception_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a model over a frame of 100 by 50, each element as one line of text."""
+    p = spark.createDataFrame([(i, t) for i, t, _, _ in X.PERCEPTIONS], "id int, raw string").withColumn("p", parse_perception(F.col("raw"), F.lit(100), F.lit(50)))
+    said = lambda x: F.concat_ws("|", x["type"], F.coalesce(x["label"], F.lit("-")), x["sensitive"].cast("string"), x["confidence"].cast("string"), *(x["bbox"][k].cast("int").cast("string") for k in ("x", "y", "width", "height")))
+    return p.select("id", F.array_join(F.transform("p.elements", said), "; ").alias("elements"), "p.failed")
+
+
+@query("plan_cases", "SELECT id, n, error FROM " + X.values([(i, n, e) for i, _, n, e in X.PLANS], "id, n, error"))
+def plan_cases(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.createDataFrame([(i, t) for i, t, _, _ in X.PLANS], "id int, raw string").withColumn("p", parse_plan(F.col("raw")))
+    return p.select("id", F.size("p.actions").alias("n"), "p.error").withColumn("n", F.when(F.col("error").isNull(), F.col("n")))
 
 
 # pages and forms -----------------------------------------------------------------------
