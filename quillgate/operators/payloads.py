@@ -15,6 +15,8 @@ from quillgate.functions import patterns as P
 
 #: Findings that a blocked payload is reported with; nodes of a batch of the walk.
 TOLD, BATCH = 10, 20_000
+#: Levels that are read where a caller names none; None reads them all.
+DEPTH = 12
 _NODES = "ord long, path string, key string, kind string, s string, level int"
 
 
@@ -70,11 +72,11 @@ def walk(payloads: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return payloads.select(F.col(id_col).alias("id"), F.col(json_col).cast("string").alias("payload")).mapInArrow(run, f"id {kind}, {_NODES}")
 
 
-def payload_leaks(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "payload", depth: int | None = None) -> DataFrame:
+def payload_leaks(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "payload", depth: int | None = DEPTH) -> DataFrame:
     """(id, path, category, match, confidence, ord): ``ord`` has the order of a payload's
-    findings. There is no bound of depth unless one is given; then what is nested deeper, as
-    always what can't be read, can't be told safe and is a finding of its own. Nulls, repeats
-    and empty tables as in :func:`walk`."""
+    findings. What is nested deeper than ``depth`` can't be told safe and is a finding of its
+    own, as is what can't be read; with None there is no bound. Nulls, repeats and empty
+    tables as in :func:`walk`."""
     nodes = walk(payloads, id_col, json_col)
     if depth is not None:
         nodes = nodes.where(F.col("level") <= depth)
@@ -104,7 +106,7 @@ def payload_leaks(payloads: DataFrame, id_col: str = "payload_id", json_col: str
     return told.select(F.col("id").alias(id_col), "f.*", F.struct("ord", "at").alias("ord"))
 
 
-def payload_gate(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "payload", depth: int | None = None) -> DataFrame:
+def payload_gate(payloads: DataFrame, id_col: str = "payload_id", json_col: str = "payload", depth: int | None = DEPTH) -> DataFrame:
     """(id, safe, n_findings, findings): findings are the first ten of the walk as
     category@path. A null payload is safe; rows that repeat an id count their findings
     together. An empty table gives no rows."""
@@ -117,11 +119,11 @@ def payload_gate(payloads: DataFrame, id_col: str = "payload_id", json_col: str
     )
 
 
-def send_gated(payloads: DataFrame, path: str, quarantine: str, id_col: str = "payload_id", json_col: str = "payload") -> None:
+def send_gated(payloads: DataFrame, path: str, quarantine: str, id_col: str = "payload_id", json_col: str = "payload", depth: int | None = None) -> None:
     """The single way out: payloads without a finding are appended to ``path``, the others,
     without their content, to ``quarantine`` with what was found. Rows that share an id with
     a blocked one are blocked; a null id is an id like any other."""
-    told = payload_gate(payloads.select(id_col, json_col), id_col, json_col).distinct().select(F.struct(F.col(id_col).alias("id"), "safe", "n_findings", "findings").alias("told"))
+    told = payload_gate(payloads.select(id_col, json_col), id_col, json_col, depth).distinct().select(F.struct(F.col(id_col).alias("id"), "safe", "n_findings", "findings").alias("told"))
     # the two sides are structs, so no column of the payloads can clash
     both = payloads.select(F.struct(*payloads.columns).alias("own")).join(told, F.col(f"own.`{id_col}`").eqNullSafe(F.col("told.id")))
     both.where("told.safe").select("own.*").write.mode("append").parquet(path)

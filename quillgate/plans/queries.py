@@ -240,7 +240,7 @@ WITH p AS (SELECT conv_id, {_PAYLOAD.replace("{s}", "VARCHAR")} AS payload FROM
 SELECT conv_id AS payload_id, replace(j.fullkey, '"', '') AS path FROM p, json_tree(p.payload) j WHERE lower(j.key) IN ({", ".join(map(sql, P.SENSITIVE_KEYS))})""")
 def leak_nested_keys(spark: SparkSession, d: str) -> DataFrame:
     p = _payloads(spark, d)
-    return payload_leaks(p).where("category = 'sensitive_key'").select("payload_id", "path")
+    return payload_leaks(p, depth=None).where("category = 'sensitive_key'").select("payload_id", "path")
 
 
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
@@ -252,20 +252,20 @@ def _payloads(spark: SparkSession, d: str) -> DataFrame:
 
 @query("payload_gate_conversations", "SELECT conv_id AS payload_id, conv_id % 3 <> 0 AS safe, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS n_findings FROM conversations GROUP BY conv_id")
 def payload_gate_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return payload_gate(_payloads(spark, d)).drop("findings")
+    return payload_gate(_payloads(spark, d), depth=None).drop("findings")
 
 
 @query("payload_gate_cases", "SELECT id AS payload_id, expect AS safe FROM " + X.values([(i, e) for i, _, e in X.PAYLOADS], "id, expect"))
 def payload_gate_cases(spark: SparkSession, d: str) -> DataFrame:
     p = spark.createDataFrame([(i, t) for i, t, _ in X.PAYLOADS], "payload_id int, payload string")
-    return payload_gate(p, depth=12).select("payload_id", "safe")
+    return payload_gate(p).select("payload_id", "safe")
 
 
 @query("payload_gate_findings", "SELECT id AS payload_id, findings FROM " + X.values([(i, f) for i, _, f in X.ORDERED_PAYLOADS], "id, findings"))
 def payload_gate_findings(spark: SparkSession, d: str) -> DataFrame:
     """The first ten findings, in the order of the payload's text, repeats kept."""
     p = spark.createDataFrame([(i, t) for i, t, _ in X.ORDERED_PAYLOADS], "payload_id int, payload string")
-    return payload_gate(p).select("payload_id", F.array_join("findings", ", ").alias("findings"))
+    return payload_gate(p, depth=None).select("payload_id", F.array_join("findings", ", ").alias("findings"))
 
 
 @query("perception_cases", "SELECT id, elements, failed FROM " + X.values([(i, e, f) for i, _, e, f in X.PERCEPTIONS], "id, elements, failed"))
