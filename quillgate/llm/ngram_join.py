@@ -28,6 +28,7 @@ Postings travel as packed arrays, not as rows.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 from math import log, log2
@@ -48,7 +49,7 @@ WIDTH, PERCENT = 5, 80
 #: Shingles of a block that one task searches at once; postings of a packed row or partition.
 CHUNK, FLUSH, BUCKET = 200_000, 1_000_000, 400_000
 #: How much a probe costs against a merge step, in DivideSkip's choice of the long lists.
-MU = 0.01
+MU = 0.002
 _N_MASK = 0xFFFFFF
 
 
@@ -221,7 +222,7 @@ class Block:
         lists, left, right, size = lists[order], left[order], right[order], size[order]
         long = min(T - 1, int(T / (MU * log2(int(size[-1]) + 1) + 1)))
         short = len(lists) - long
-        found, cnt = self._merge(left[:short], right[:short], lists[:short])
+        found, cnt = self._merge(left[:short], right[:short], lists[:short], T - long)
         enough = need(n, self.n[found], self.percent)
         stay = cnt >= enough - long
         found, cnt, enough = found[stay], cnt[stay], enough[stay]
@@ -239,16 +240,37 @@ class Block:
         done.append(found[cnt >= enough])
         return np.concatenate(done)
 
-    def _merge(self, left: np.ndarray, right: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of the short lists, ascending, and how many of the lists have each."""
-        runs = [self.flat[a:b] - k * self.count for a, b, k in zip(left, right, lists)]
-        if sum(map(len, runs)) <= 256:
-            heap = heapq.merge(*(r.tolist() for r in runs))
-            got = [(d, sum(1 for _ in g)) for d, g in groupby(heap)]
-            both = np.array(got, np.int64).reshape(-1, 2)
-            return both[:, 0], both[:, 1]
-        merged = np.sort(np.concatenate(runs), kind="stable")  # a merge of the ascending runs
-        return np.unique(merged, return_counts=True)
+    def _merge(self, left: np.ndarray, right: np.ndarray, lists: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents in ``least`` or more of the short lists, ascending, and in how many each.
+
+        A heap holds the next posting of every list. A document at its top too few times is
+        given up, and with it all before the ``least``-th posting of the heap: the lists are
+        moved past these by binary search.
+        """
+        runs = [(self.flat[a:b] - k * self.count).tolist() for a, b, k in zip(left, right, lists)]
+        width = len(runs)
+        heap = [r[0] * width + i for i, r in enumerate(runs)]
+        heapq.heapify(heap)
+        at, found, cnt = [0] * width, [], []
+        while len(heap) >= least:
+            top = heap[0] // width
+            stop, out = (top + 1) * width, []
+            while heap and heap[0] < stop:
+                out.append(heapq.heappop(heap) % width)
+            if len(out) >= least:
+                found.append(top)
+                cnt.append(len(out))
+                to = top + 1
+            else:
+                while len(out) < least - 1:
+                    out.append(heapq.heappop(heap) % width)
+                to = heap[0] // width
+            for i in out:
+                r = runs[i]
+                at[i] = p = bisect_left(r, to, at[i])
+                if p < len(r):
+                    heapq.heappush(heap, r[p] * width + i)
+        return np.array(found, np.int64), np.array(cnt, np.int64)
 
 
 def _searched(percent: int):

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillgate.llm import ngram_join
@@ -104,3 +105,15 @@ def test_many_near_copies_of_one_text(spark):
         rows.append((i, " ".join(own)))
     got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows)
+
+
+def test_search_of_a_block_against_all_pairs():
+    r = np.random.default_rng(3)
+    for count, size, span, percent in ((60, 40, 60, 80), (200, 12, 30, 60), (120, 90, 95, 80), (40, 1, 3, 100)):
+        base = r.choice(10 * span, span, replace=False)
+        own = [np.unique(np.concatenate((r.choice(base, min(size, span), replace=False), r.integers(0, 10 * span, r.integers(0, 6))))).astype(np.uint64) for _ in range(count)]
+        own.sort(key=len)
+        block = ngram_join.Block(own, percent)
+        for q in range(count):
+            both = [len(np.intersect1d(own[q], own[d])) for d in range(q)]
+            assert sorted(block.search(q).tolist()) == [d for d in range(q) if 100 * both[d] >= percent * (len(own[q]) + len(own[d]) - both[d])]
