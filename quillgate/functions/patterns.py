@@ -145,6 +145,11 @@ DEFAULT_SETTINGS = {
     "MAX_STEPS": "25", "CHANGE_DETECTION_THRESHOLD": "0.02", "FAIL_CLOSED": "true", "ENABLE_FACE_REDACTION": "true", "ENABLE_QR_BARCODE": "true", "ENABLE_SIGNATURE": "true", "ACTIVITY_RETENTION": "50",
 }
 
+URL_HOST = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#]*@)?([^/?#@]+)"
+
+# fixed values: the setting that turns a kind of visual region off
+VISUAL_SETTINGS = {"face": "ENABLE_FACE_REDACTION", "qr_code": "ENABLE_QR_BARCODE", "barcode": "ENABLE_QR_BARCODE", "signature": "ENABLE_SIGNATURE"}
+
 # fixed values: why there is no plan
 PLAN_EMPTY, PLAN_UNREAD, PLAN_WITHOUT_ACTIONS = "Empty remote response", "Remote plan is no JSON", "Remote plan missing actions[]"
 

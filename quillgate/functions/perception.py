@@ -104,6 +104,21 @@ def dom_only(fields: Column, title: Column, url: Column) -> Column:
     return F.struct(F.transform(F.coalesce(fields, F.array()), element).alias("elements"), said.alias("page_description"))
 
 
+def visible(display: Column, visibility: Column, opacity: Column, width: Column, height: Column) -> Column:
+    """Whether a box of a style is seen; a style that isn't told hides nothing, a size that
+    isn't told is none."""
+    hidden = F.coalesce((display == "none") | (visibility == "hidden"), display == "none", visibility == "hidden", F.lit(False))
+    return ~hidden & F.coalesce(opacity != 0, F.lit(True)) & F.coalesce((width > 0) & (height > 0), F.lit(False))
+
+
+def host_of(url: Column) -> Column:
+    """Host and port of a URL in lower case, without the port its scheme implies; empty for
+    what is no URL and for null."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), P.URL_HOST, 2))
+    port = F.when(url.rlike("(?i)^https:"), ":443$").when(url.rlike("(?i)^http:"), ":80$").otherwise("$")
+    return F.regexp_replace(host, port, F.lit(""))
+
+
 def settings_of(stored: Column) -> Column:
     """map<string, string> of the settings: what is stored goes before the defaults."""
     defaults = F.create_map(*(F.lit(x) for pair in P.DEFAULT_SETTINGS.items() for x in pair))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillgate.functions import patterns as P
+from quillgate.functions.documents import classify
 from quillgate.functions.fields import classify_field
 from quillgate.functions.text import findings, safe_descriptive
 
@@ -39,6 +41,43 @@ def regions(verdicts: DataFrame) -> DataFrame:
     return verdicts.where("sensitive").select("page_id", "ord", "category", "source", "score")
 
 
+def document_regions(media: DataFrame) -> DataFrame:
+    """(page_id, ord, category, source, score, decision, bbox) of the media that show a
+    document: whole regions, to be redacted or confirmed.
+
+    ``media``: (page_id, ord, visible, bbox, ocr_text, file_name, alt, title, mime). Media
+    without a box or not seen are passed over, so is what shows none; ids may be null.
+    """
+    seen = media.where("visible and bbox is not null")
+    alt = F.coalesce(F.nullif("alt", F.lit("")), F.col("title"))
+    c = classify(F.col("ocr_text"), F.col("file_name"), alt, F.col("mime"), F.col("bbox.width"), F.col("bbox.height"), F.lit(False))
+    found = seen.withColumn("c", c).where("c.decision <> 'safe'")
+    return found.select("page_id", "ord", F.coalesce("c.category", F.lit("identity_document")).alias("category"), F.lit("document_detector").alias("source"), F.col("c.confidence").alias("score"), "c.decision", "bbox")
+
+
+def visual_regions(found: DataFrame, settings: Column) -> DataFrame:
+    """Rows (page_id, category, score, bbox) of pixel detectors that the settings, a
+    map<string, string> column of :func:`settings_of`, leave on, with source and mode: faces
+    are blurred, all else is redacted. Other categories are off."""
+    name = F.create_map(*(F.lit(x) for pair in P.VISUAL_SETTINGS.items() for x in pair))
+    on = F.lower(F.coalesce(F.try_element_at(settings, F.try_element_at(name, F.col("category"))), F.lit("true"))) != "false"
+    kept = found.where(F.col("category").isin(list(P.VISUAL_SETTINGS)) & on)
+    return kept.withColumns({"source": F.lit("visual_cv"), "mode": F.when(F.col("category") == "face", "blur").otherwise("redact")})
+
+
+def region_totals(all_regions: DataFrame) -> DataFrame:
+    """(page_id, regions, documents, visual, categories, uncertain) of the union of all
+    layers' regions (page_id, category, source, decision): uncertain where any document is to
+    be confirmed. Null ids are one page; an empty table gives no rows."""
+    return all_regions.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("regions"),
+        F.count_if(F.col("source") == "document_detector").alias("documents"),
+        F.count_if(F.col("source") == "visual_cv").alias("visual"),
+        F.array_sort(F.collect_set("category")).alias("categories"),
+        F.coalesce(F.bool_or(F.col("decision") == "confirm"), F.lit(False)).alias("uncertain"),
+    )
+
+
 def context(verdicts: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_id, context): four sentences at most about a page (page_id, description,
     instruction), naming kinds of sensitive fields and up to 25 others, never values."""

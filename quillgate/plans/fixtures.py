@@ -70,3 +70,21 @@ PLANS = [
     (0, '{"actions":[{"variant":"mouse:click"},{"variant":"keyboard:enter"}],"done":false}', 2, None), (1, '```\n{"actions":[]}\n```', 0, None), (2, "", None, "Empty remote response"), (3, None, None, "Empty remote response"),
     (4, '{"done":true}', None, "Remote plan missing actions[]"), (5, "{nothing}", None, "Remote plan is no JSON"), (6, 'I say {"actions":[1]} and stop', 1, None),
 ]
+
+# label, name, placeholder, input_type, selector_path, visible, disabled
+LOCAL_PLANS = [
+    (0, "Upload my Aadhaar", [("Aadhaar card", None, None, "file", "#a", True, False), ("", "aadhaar_no", None, "text", "#b", True, None)], "browser:upload_file #a aadhaar_document; local:fill_credential #b aadhaar_number"),
+    (1, "log in", [("Password", None, None, "password", "#p", True, False), ("Aadhaar", None, None, "text", "#b", True, False)], "local:fill_credential #p password"),
+    (2, "log in", [("Password", None, None, "password", "#p", False, False), ("Password", None, None, "password", "#q", True, True), (None, "", None, "password", "#r", True, False), ("Password", None, None, "password", "#s", None, None)], None),
+    (3, None, [(None, None, "secret", "password", None, True, False)], "local:fill_credential password"), (4, "aadhaar", [], None), (5, "aadhaar", None, None),
+]
+
+_AT = (1.0, 2.0, 160.0, 100.0)
+MEDIA = [
+    (1, 0, True, _AT, None, "pan_card.png", "", None, "image/png"), (1, 1, False, _AT, None, "passport.png", None, None, None), (2, 0, True, _AT, None, None, None, "a garden", None),
+    (2, 1, True, None, None, "passport.png", None, None, None), (3, 0, True, (0.0, 0.0, 500.0, 100.0), None, None, "a garden", None, "image/png"), (3, 1, None, _AT, None, "passport.png", None, None, None),
+]
+SEEN = [(1, "face", 0.6, _AT), (1, "signature", 0.5, _AT), (3, "qr_code", 0.9, _AT), (3, "logo", 0.9, _AT), (3, None, 0.9, None)]
+REGION_TOTALS = [
+    (1, 6, 1, 1, "cc-number,face,file_upload,name,pan,password", False), (2, 5, 1, 0, "email,generic_identity,pan,street-address,tel", True), (3, 1, 0, 1, "qr_code", False),
+]

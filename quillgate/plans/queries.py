@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgate.functions import decisions as D
@@ -12,10 +12,10 @@ from quillgate.functions import leaks
 from quillgate.functions import patterns as P
 from quillgate.functions.documents import classify, file_evidence, redaction_label, text_evidence
 from quillgate.functions.fields import classify_field
-from quillgate.functions.perception import parse_perception, parse_plan
+from quillgate.functions.perception import host_of, parse_perception, parse_plan, settings_of
 from quillgate.functions.regex import java, re2, sql
 from quillgate.functions.text import findings, sanitize_text
-from quillgate.operators import gate, pixels, vault
+from quillgate.operators import gate, pixels, session, vault
 from quillgate.operators.payloads import payload_gate, payload_leaks
 from quillgate.plans import fixtures as X
 from quillgate.sources.html import page_elements
@@ -378,6 +378,58 @@ def validate_actions(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", D.action_error(F.parse_json("a")).alias("error"))
 
 
+# steps of a task --------------------------------------------------------------------------
+
+
+@query("log_redaction", """SELECT conv_id, turn, '{"turn":' || turn || ',"role":' || to_json(role) || ',"text":"[REDACTED]","more":[{"content":"[REDACTED]","of":{"role":' || to_json(role) || ',"value":"[REDACTED]"}}]}' AS entry FROM conversations""")
+def log_redaction(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as a nested log entry, without the values of sensitive keys."""
+    own = F.struct("turn", "role", "text", F.array(F.struct(F.col("text").alias("content"), F.struct("role", F.col("text").alias("value")).alias("of"))).alias("more"))
+    return table(spark, d, "conversations").select("conv_id", "turn", session.redact_log(F.to_json(own, {"ignoreNullFields": "false"})).alias("entry"))
+
+
+_VARIANT = "CASE event_type WHEN 'view' THEN 'mouse:scroll' WHEN 'purchase' THEN 'browser:upload_file' ELSE 'mouse:click' END"
+
+
+@query("action_attempts", f"""WITH t AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, event_id % 5 = 0 AS ok, event_id % 7 = 0 AS done, {_VARIANT} AS variant FROM events),
+a AS (SELECT *, n // 4 AS run, CAST(n % 4 + 1 AS INTEGER) AS attempt FROM t),
+x AS (SELECT *, CASE WHEN ok THEN 'done' WHEN done THEN 'stop' WHEN variant = 'browser:upload_file' THEN 'confirm' WHEN attempt >= 3 THEN 'stop' ELSE 'retry' END AS next FROM a)
+SELECT event_id, attempt, next, CASE WHEN next = 'retry' THEN CAST(attempt AS BIGINT) * 1000 END AS wait_ms FROM x
+WHERE NOT EXISTS (SELECT 1 FROM x e WHERE e.user_id = x.user_id AND e.run = x.run AND e.attempt < x.attempt AND e.next <> 'retry')""")
+def action_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Every four events of a user as the tries of one action."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = table(spark, d, "events").select("event_id", "user_id", n.alias("n"), (F.col("event_id") % 5 == 0).alias("ok"), (F.col("event_id") % 7 == 0).alias("succeeded"), F.expr(_VARIANT).alias("variant"))
+    none = F.lit(None).cast("string")
+    tries = e.withColumns({"action": F.struct("user_id", F.expr("n div 4")), "attempt": F.expr("n % 4 + 1"), "retry": D.retry_class(F.col("variant"), none, none, none)})
+    return session.attempts(tries, "action").select("event_id", "attempt", "next", "wait_ms")
+
+
+@query("page_hosts", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#@]+)', 1)), CASE WHEN url LIKE 'https:%' THEN ':443$' ELSE ':80$' END, '') AS host FROM pages")
+def page_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", host_of(F.col("url")).alias("host"))
+
+
+@query("local_plans", "SELECT id, plan FROM " + X.values([(i, p) for i, _, _, p in X.LOCAL_PLANS], "id, plan"))
+def local_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Each action of a plan as variant, place and role."""
+    fields = "array<struct<label:string,name:string,placeholder:string,input_type:string,selector_path:string,visible:boolean,disabled:boolean>>"
+    p = spark.createDataFrame([(i, t, f) for i, t, f, _ in X.LOCAL_PLANS], f"id int, task string, fields {fields}").withColumn("p", session.plan_locally(F.col("task"), F.col("fields")))
+    return p.select("id", F.array_join(F.transform("p", lambda a: F.concat_ws(" ", a["variant"], a["selector_path"], a["credential_role"])), "; ").alias("plan"))
+
+
+@query("region_layers", "SELECT page_id, regions::BIGINT AS regions, documents::BIGINT AS documents, visual::BIGINT AS visual, categories, uncertain FROM " + X.values(X.REGION_TOTALS, "page_id, regions, documents, visual, categories, uncertain"))
+def region_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of forms, documents and pixels of each page, counted."""
+    box = "bbox struct<x:double,y:double,width:double,height:double>"
+    media = spark.createDataFrame(X.MEDIA, f"page_id int, ord int, visible boolean, {box}, ocr_text string, file_name string, alt string, title string, mime string")
+    seen = spark.createDataFrame(X.SEEN, f"page_id int, category string, score double, {box}")
+    off = settings_of(F.create_map(F.lit("ENABLE_SIGNATURE"), F.lit("false")))
+    fields = gate.regions(gate.field_verdicts(spark.createDataFrame(X.FIELDS, _FIELD_TYPES)))
+    layers = fields.unionByName(gate.document_regions(media), True).unionByName(gate.visual_regions(seen, off), True)
+    return gate.region_totals(layers).withColumn("categories", F.array_join("categories", ","))
+
+
 # ordered and stateful --------------------------------------------------------------------
 
 _EVENT = "CASE event_type WHEN 'click' THEN 'action_executed' WHEN 'view' THEN 'privacy_gate' WHEN 'purchase' THEN 'potential_leak_blocked' ELSE event_type END"
