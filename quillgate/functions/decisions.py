@@ -125,7 +125,7 @@ REQUIRED = {
 
 def action_error(action: Column) -> Column:
     """What is wrong with an action given as a variant, or null: fields are looked up by name
-    and by type, so a number given as text is an error."""
+    and by type, so a number given as text is an error. A null action is no object."""
     kind = lambda name: F.schema_of_variant(F.try_variant_get(action, f"$.{name}", "variant"))
     is_a = {
         "number": lambda t: t.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"),
@@ -134,7 +134,8 @@ def action_error(action: Column) -> Column:
     }
     article = {"number": "a number", "string": "a string", "object": "an object"}
     variant = F.try_variant_get(action, "$.variant", "string")
-    out = F.when(~kind("variant").eqNullSafe("STRING") | ~F.coalesce(variant.isin(list(REQUIRED)), F.lit(False)), F.concat(F.lit("Unknown action variant: "), F.coalesce(variant, F.lit("undefined"))))
+    whole = F.coalesce(is_a["object"](F.schema_of_variant(action)), F.lit(False))
+    out = F.when(~whole, "Action must be an object").when(~kind("variant").eqNullSafe("STRING") | ~F.coalesce(variant.isin(list(REQUIRED)), F.lit(False)), F.concat(F.lit("Unknown action variant: "), F.coalesce(variant, F.lit("undefined"))))
     for name, fields in REQUIRED.items():
         checks = []
         for f in fields.split():

@@ -371,10 +371,9 @@ def status_steps(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", D.status_level(c["blocked"], c["running"], c["model"], c["ocr"]).alias("level"), F.array_join(F.transform(steps, lambda x: x["state"]), ",").alias("steps"))
 
 
-@query("validate_actions")
+@query("validate_actions", "SELECT id, error FROM " + X.values([(i, e) for i, (_, e) in enumerate(X.CHECKED_ACTIONS)][::-1], "id, error"))
 def validate_actions(spark: SparkSession, d: str) -> DataFrame:
-    rows = ['{"variant":"mouse:click","x":1,"y":2}', '{"variant":"mouse:click","x":"1","y":2}', '{"variant":"browser:navigate"}', '{"variant":"nope"}', "{}", '{"variant":"local:fill_credential","target":{},"credentialRole":"otp"}', '{"variant":"local:fill_credential","target":{"selectorPath":"#a"},"credentialRole":"otp"}', '{"variant":"keyboard:tab"}']
-    a = spark.createDataFrame(list(enumerate(rows)), "id int, a string")
+    a = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(X.CHECKED_ACTIONS)], "id int, a string")
     return a.select("id", D.action_error(F.parse_json("a")).alias("error"))
 
 
