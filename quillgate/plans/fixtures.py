@@ -91,9 +91,10 @@ REGION_TOTALS = [
 
 CHECKED_ACTIONS = [
     ('{"variant":"mouse:click","x":1,"y":2}', None), ('{"variant":"mouse:click","x":"1","y":2}', "Action.x must be a number"), ('{"variant":"browser:navigate"}', "Action.url must be a string"),
-    ('{"variant":"nope"}', "Unknown action variant: nope"), ("{}", "Unknown action variant: undefined"), (None, "Action must be an object"), ("7", "Action must be an object"), ("null", "Action must be an object"), ("[]", "Unknown action variant: undefined"), ('{"variant":"local:fill_credential","target":{},"credentialRole":"otp"}', "Action.target must include a selectorPath or bbox"),
+    ('{"variant":"nope"}', "Unknown action variant: nope"), ("{}", "Unknown action variant: undefined"), ('{"variant":"local:fill_credential","target":{},"credentialRole":"otp"}', "Action.target must include a selectorPath or bbox"),
     ('{"variant":"local:fill_credential","target":{"selectorPath":"#a"},"credentialRole":"otp"}', None), ('{"variant":"keyboard:tab"}', None), ('{"variant":"mouse:drag","from":{},"to":1}', "Action.to must be an object"),
     ('{"variant":"mouse:scroll","x":0,"y":0,"deltaX":0.5}', "Action.deltaY must be a number"), ('{"variant":"keyboard:type","content":3}', "Action.content must be a string"), ('{"variant":"keyboard:type","content":""}', None),
     ('{"variant":"browser:tab:switch","index":null}', "Action.index must be a number"), ('{"variant":"browser:upload_file","target":{"bbox":{"x":1}},"credentialRole":"otp"}', None),
     ('{"variant":"browser:upload_file","target":{"bbox":{"x":1}}}', "Action.credentialRole must be a string"), ('{"variant":"mouse:double_click","x":1e3,"y":-2}', None), ('{"variant":"browser:tab:new"}', None),
+    (None, "Action must be an object"), ("7", "Action must be an object"), ("null", "Action must be an object"), ("[]", "Unknown action variant: undefined"),
 ]
