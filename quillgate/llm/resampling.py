@@ -1,7 +1,7 @@
 """Importance resampling towards a target's distribution, over a dictionary of features.
 
 Features are runs of words. Texts are taken in blocks of bounded size; a block has a list of
-its distinct features, and its documents refer to them by number. The blocks' lists are
+its distinct features, and its documents' counts refer to them by number. The blocks' lists are
 summed to one dictionary with a row for each distinct string, with its counts in the corpus
 and in the target; only there is a string hashed to its bucket. The buckets' counts give
 gains, which go back over the dictionary to the blocks' lists and from these to the documents'
@@ -20,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgate.llm._store import drop, materialise, shuffle_partitions
-from quillgate.llm._words import batches
 
 BUCKETS, WIDTH, SHARE, LEAST_WORDS, SEED = 10_000, 1, 10, 20, "2024"
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Text of a block: its distinct features and its documents' counts are in memory together.
+BLOCK_BYTES = 32 << 20
 #: Scores counted together at first.
 _COARSE = 512
 
@@ -37,41 +39,76 @@ def _features(words: list[bytes], width: int) -> list[bytes]:
     return words if width == 1 else [b" ".join(words[i : i + k]) for k in range(1, width + 1) for i in range(len(words) - k + 1)]
 
 
-def block_features(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """Two kinds of rows for each block of texts. A document has id, n_words, n_features and
-    the numbers of its distinct features with their counts (packed, 32 bits each); a feature
-    has ``feature``, its number ``k`` in the block and ``times`` in all of it. Words are runs
-    of digits, a-z and characters beyond ASCII, after A-Z is lower-cased."""
+def _pack(x: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes by place, compressed."""
+    return zstandard.compress(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+class _Block:
+    """Documents of a block as they come, with the block's distinct features."""
+
+    def __init__(self) -> None:
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.ids, self.n_words, self.n_features, self.distinct, self.of, self.counts, self.size = [], [], [], [], [], [], 0
+
+    def add(self, id: pa.Array, text: bytes, width: int) -> None:
+        words = _WORD.findall(text.lower())
+        own = np.fromiter(map(self.number.__getitem__, _features(words, width)), np.int32)
+        k, n = np.unique(own, return_counts=True)
+        self.ids.append(id)
+        self.n_words.append(len(words))
+        self.n_features.append(len(own))
+        self.distinct.append(len(k))
+        self.of.append(k)
+        self.counts.append(n)
+        self.size += len(text)
+
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        of, counts = np.concatenate(self.of), np.concatenate(self.counts)
+        times = np.bincount(of, counts, len(self.number)).astype(np.int64)
+        ids, told = pa.concat_arrays(self.ids), [self.n_words, self.n_features]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, *(pa.array(t, pa.int64()) for t in told))]
+        packed = [_pack(np.array(self.distinct)), _pack(np.diff(of, prepend=0)), _pack(counts)]
+        columns = [*lists, *(pa.array([x], pa.binary()) for x in packed), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([True]), *columns], names=_COLUMNS)
+        features = list(self.number)
+        for at in range(0, len(features), 50_000):
+            part = features[at : at + 50_000]
+            n = len(part)
+            columns = [*(pa.nulls(n, c.type) for c in columns[:6]), pa.array(part, pa.binary()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(times[at : at + n])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.zeros(n, bool)), *columns], names=_COLUMNS)
+
+
+_COLUMNS = ["block", "is_docs", "ids", "n_words", "n_features", "distinct", "of", "counts", "feature", "k", "times"]
+
+
+def block_features(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Two kinds of rows for each block of texts, which ends where it has ``block_bytes`` or
+    more. One row has all its documents: ids, n_words, n_features and, packed, how many
+    distinct features each has, their numbers and their counts. The others are the block's
+    features, each with its number ``k`` and the ``times`` it stands in the block. Words are
+    runs of digits, a-z and characters beyond ASCII, after A-Z is lower-cased."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        at, block = TaskContext.get().partitionId() << 32, _Block()
         for b in it:
-            for first, texts in batches(b.column("_t").cast(pa.binary()).to_pylist()):
-                number: defaultdict[bytes, int] = defaultdict()
-                number.default_factory = number.__len__
-                n_words, n_features, of, times = [], [], [], []
-                total = np.zeros(0, np.int64)
-                for t in texts:
-                    words = _WORD.findall(t.lower())
-                    own = np.fromiter(map(number.__getitem__, _features(words, width)), np.int32)
-                    k, n = np.unique(own, return_counts=True)
-                    if len(number) > len(total):
-                        total = np.concatenate((total, np.zeros(len(number), np.int64)))
-                    total[k] += n
-                    n_words.append(len(words))
-                    n_features.append(len(own))
-                    of.append(k.astype("<i4").tobytes())
-                    times.append(n.astype("<i4").tobytes())
-                d, f = len(texts), len(number)
-                pad = lambda x, n, before: pa.concat_arrays([pa.nulls(n, x.type), x] if before else [x, pa.nulls(n, x.type)])
-                columns = [pad(b.column("_id").slice(first, d), f, False), *(pad(pa.array(x, t), f, False) for x, t in ((n_words, pa.int64()), (n_features, pa.int64()), (of, pa.binary()), (times, pa.binary())))]
-                columns += [pad(x, d, True) for x in (pa.array(list(number), pa.binary()), pa.array(np.arange(f, dtype=np.int32)), pa.array(total[:f]))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(d + f, block)), pa.array(np.arange(d + f) < d), *columns], names=["block", "is_doc", "id", "n_words", "n_features", "of", "counts", "feature", "k", "times"])
-                block += 1
+            ids = b.column("_id")
+            for i, text in enumerate(b.column("_t").cast(pa.binary())):
+                block.add(ids.slice(i, 1), text.as_py() or b"", width)
+                if block.size >= block_bytes:
+                    yield from block.rows(at)
+                    at, block = at + 1, _Block()
+        if block.ids:
+            yield from block.rows(at)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t")).mapInArrow(
-        run, f"block long, is_doc boolean, id {kind}, n_words long, n_features long, of binary, counts binary, feature binary, k int, times long"
+        run, f"block long, is_docs boolean, ids array<{kind}>, n_words array<long>, n_features array<long>, distinct binary, of binary, counts binary, feature binary, k int, times long"
     )
 
 
@@ -83,14 +120,19 @@ def _gain(s: Column, t: Column, all_s: int, all_t: int, buckets: int) -> Column:
 def _weights(id_kind: str):
     def run(docs: pa.Table, gains: pa.Table) -> pa.Table:
         k, g = gains.column("k").to_numpy(), gains.column("gain").to_numpy()
-        gain = np.zeros(int(k.max()) + 1 if len(k) else 0, np.int64)
+        gain = np.zeros(int(k.max(initial=-1)) + 1, np.int64)
         gain[k] = g
-        of = [np.frombuffer(x.as_buffer(), "<i4") if len(x.as_py()) else np.empty(0, np.int32) for x in docs.column("of")]
-        counts = [np.frombuffer(x.as_buffer(), "<i4") if len(x.as_py()) else np.empty(0, np.int32) for x in docs.column("counts")]
-        total = [int(gain[a] @ n.astype(np.int64)) for a, n in zip(of, counts)]
-        n = docs.column("n_features").to_pylist()
-        weight = pa.array([s // m if m else 0 for s, m in zip(total, n)], pa.int64())
-        return pa.table([docs.column("id"), docs.column("n_words"), docs.column("n_features"), weight], names=["id", "n_words", "n_features", "weight"])
+        out = []
+        for row in docs.to_batches():
+            for i in range(row.num_rows):
+                ids, n_words, n_features = (row.column(c)[i].values for c in ("ids", "n_words", "n_features"))
+                distinct, of, counts = (_unpack(row.column(c)[i].as_py()) for c in ("distinct", "of", "counts"))
+                upto = np.concatenate(([0], np.cumsum(gain[np.cumsum(of)] * counts)))
+                ends = np.cumsum(distinct)
+                n = n_features.to_numpy()
+                weight = (upto[ends] - upto[ends - distinct]) // np.maximum(n, 1)
+                out.append(pa.table([ids, n_words, n_features, pa.array(weight)], names=["id", "n_words", "n_features", "weight"]))
+        return pa.concat_tables(out)
 
     return run, f"id {id_kind}, n_words long, n_features long, weight long"
 
@@ -105,8 +147,8 @@ def importance_weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id
     gives no rows, an empty ``target`` counts nothing; other columns are not looked at.
     """
     blocks = materialise(block_features(docs, id_col, text_col, width), "resample-blocks")
-    own = blocks.where("not is_doc")
-    aimed = block_features(target.select(F.lit(0).alias("_n"), F.col(f"`{target_text}`").alias("_x")), "_n", "_x", width).where("not is_doc")
+    own = blocks.where("not is_docs")
+    aimed = block_features(target.select(F.lit(0).alias("_n"), F.col(f"`{target_text}`").alias("_x")), "_n", "_x", width).where("not is_docs")
     zero = F.lit(0).cast("long")
     both = own.select("feature", F.col("times").alias("s"), zero.alias("t")).unionByName(aimed.select("feature", zero.alias("s"), F.col("times").alias("t")))
     words = both.groupBy("feature").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
@@ -114,12 +156,12 @@ def importance_weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id
     dictionary = materialise(words.select("feature", (F.crc32("feature") % buckets).cast("int").alias("bucket"), "s", "t"), "resample-dictionary")
     by_bucket = dictionary.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     all_s, all_t = (x or 0 for x in by_bucket.agg(F.sum("s"), F.sum("t")).first())
-    gains = by_bucket.select(F.col("bucket").alias("b"), _gain(F.col("s"), F.col("t"), all_s, all_t, buckets).alias("gain"))
+    gains = by_bucket.select(F.col("bucket").alias("b"), _gain(F.col("s"), F.col("t"), all_s, all_t, buckets).cast("int").alias("gain"))
     # ``buckets`` rows at most
     told = dictionary.where("s > 0").join(F.broadcast(gains), F.col("bucket") == F.col("b")).select(F.col("feature").alias("f"), "gain")
     back = own.select("block", "feature", "k").join(told, F.col("feature") == F.col("f")).select("block", "k", "gain")
     run, schema = _weights(docs.schema[id_col].dataType.simpleString())
-    pairs = blocks.where("is_doc").select(F.col("block").alias("own"), "id", "n_words", "n_features", "of", "counts").groupBy("own").cogroup(back.groupBy("block"))
+    pairs = blocks.where("is_docs").select(F.col("block").alias("own"), "ids", "n_words", "n_features", "distinct", "of", "counts").groupBy("own").cogroup(back.groupBy("block"))
     out = materialise(pairs.applyInArrow(run, schema), "resample-weights")
     drop(blocks, dictionary)
     return out
