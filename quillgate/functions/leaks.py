@@ -12,9 +12,6 @@ from quillgate.functions.text import empty, findings, let
 LEAK = "struct<category:string,match:string,confidence:double>"
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94))
 _NARROW = "".join(chr(0x21 + i) for i in range(94))
-_BASE64 = "^[A-Za-z0-9+/]{32,}={0,2}$"
-_DATA = "^data:[^;,]*;base64,"
-LEAST_RUN = 6
 
 
 def luhn(number: Column) -> Column:
@@ -69,21 +66,21 @@ def scan_form(text: Column, most: int | None) -> Column:
     return let(text if most is None else F.left(text, F.lit(most)), rules)
 
 
-def scan_text(text: Column, most: int | None = P.SCAN_CHARS) -> Column:
-    """array<LEAK> of a string that is no base64 body. ``most`` characters of each form are
-    scanned; None scans all."""
+def scan_text(text: Column, most: int | None = None) -> Column:
+    """array<LEAK> of a string that is no base64 body. With ``most`` only so many characters
+    of each form are scanned."""
     found = F.flatten(F.transform(forms(text), lambda f: scan_form(f, most)))
     once = F.aggregate(found, empty(LEAK), lambda a, x: F.when(F.exists(a, lambda y: (y["category"] == x["category"]) & (y["match"] == x["match"])), a).otherwise(F.concat(a, F.array(x))))
     return F.when(text.isNull() | is_base64(text), empty(LEAK)).otherwise(once)
 
 
 def is_base64(text: Column) -> Column:
-    return F.coalesce(text.rlike(_BASE64) | text.rlike(_DATA), F.lit(False))
+    return F.coalesce(text.rlike(P.BASE64_BODY) | text.rlike(P.DATA_URL), F.lit(False))
 
 
 def scan_base64(text: Column) -> Column:
     """array<LEAK> in all printable runs of a base64 body, whole; null or broken: none."""
-    body = F.regexp_replace(text, _DATA, "")
+    body = F.regexp_replace(text, P.DATA_URL, "")
     plain = F.decode(F.try_to_binary(F.when(is_base64(text) & (F.length(body) >= 12), body), F.lit("base64")), "ISO-8859-1")
-    runs = F.regexp_extract_all(plain, F.lit(rf"[\x20-\x7e]{{{LEAST_RUN},}}"), F.lit(0))
+    runs = F.regexp_extract_all(plain, F.lit(rf"[\x20-\x7e]{{{P.LEAST_RUN},}}"), F.lit(0))
     return F.coalesce(F.flatten(F.transform(runs, kept_findings)), empty(LEAK))

@@ -105,6 +105,7 @@ GATE_PATTERNS = [
 CARD = r"\b(?:\d[ -]*?){13,19}\b"
 FILE_NAMES = ["pan[_-]?card", "aadhaar", "uidai", "passport", "driv(ing)?[_-]?licen", "voter[_-]?id", "employee[_-]?id", "student[_-]?id", "college[_-]?id", "statement", "cheque", "tax|form[_-]?16|26as", "salary|payslip", "medical|prescription", "confidential|proprietary|internal"]
 API_KEYS = [r"sk-[A-Za-z0-9_-]{16,}", r"AKIA[0-9A-Z]{16}", r"ghp_[A-Za-z0-9]{20,}", r"xox[baprs]-[A-Za-z0-9-]{10,}", r"(?:eyJ|gAAAA)[A-Za-z0-9._-]{16,}", r"[A-Za-z0-9]{32,}"]
+BASE64_BODY, DATA_URL, LEAST_RUN = "^[A-Za-z0-9+/]{32,}={0,2}$", "^data:[^;,]*;base64,", 6
 BEARER = r"(?i)Bearer\s+[A-Za-z0-9._~+/=-]{10,}"
 SENSITIVE_KEYS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "authorization", "access_token", "accesstoken", "credential", "vault", "masterpassword", "master_password", "cvv", "cardnumber", "ccnumber", "cc_csc", "otp", "aadhaar", "aadhar", "pan"]
 IMAGE_KEYS = ["filedataurl", "file_data_url", "originalimage", "original_image", "rawscreenshot", "raw_screenshot", "unredacted"]

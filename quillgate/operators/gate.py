@@ -41,18 +41,33 @@ def regions(verdicts: DataFrame) -> DataFrame:
     return verdicts.where("sensitive").select("page_id", "ord", "category", "source", "score")
 
 
-def document_regions(media: DataFrame) -> DataFrame:
-    """(page_id, ord, category, source, score, decision, bbox) of the media that show a
-    document: whole regions, to be redacted or confirmed.
+def document_findings(media: DataFrame) -> DataFrame:
+    """(page_id, ord, region, blocked, document) of the media that show a document, from one
+    classification: the region (bbox, category, source, score, decision) to be redacted or
+    confirmed as a whole, what is told as blocked (label, category), and what was found (tag,
+    category, confidence, methods).
 
-    ``media``: (page_id, ord, visible, bbox, ocr_text, file_name, alt, title, mime). Media
+    ``media``: (page_id, ord, visible, bbox, ocr_text, file_name, alt, title, mime, tag). Media
     without a box or not seen are passed over, so is what shows none; ids may be null.
     """
     seen = media.where("visible and bbox is not null")
     alt = F.coalesce(F.nullif("alt", F.lit("")), F.col("title"))
     c = classify(F.col("ocr_text"), F.col("file_name"), alt, F.col("mime"), F.col("bbox.width"), F.col("bbox.height"), F.lit(False))
     found = seen.withColumn("c", c).where("c.decision <> 'safe'")
-    return found.select("page_id", "ord", F.coalesce("c.category", F.lit("identity_document")).alias("category"), F.lit("document_detector").alias("source"), F.col("c.confidence").alias("score"), "c.decision", "bbox")
+    category = F.coalesce("c.category", F.lit("identity_document"))
+    label = F.coalesce(F.nullif("alt", F.lit("")), F.nullif("title", F.lit("")), "tag")
+    return found.select(
+        "page_id", "ord",
+        F.struct("bbox", category.alias("category"), F.lit("document_detector").alias("source"), F.col("c.confidence").alias("score"), F.col("c.decision").alias("decision")).alias("region"),
+        F.struct(label.alias("label"), category.alias("category")).alias("blocked"),
+        F.struct("tag", F.col("c.category").alias("category"), F.col("c.confidence").alias("confidence"), F.col("c.methods").alias("methods")).alias("document"),
+    )
+
+
+def document_regions(media: DataFrame) -> DataFrame:
+    """The regions of :func:`document_findings`, flat; ``media`` without a tag."""
+    found = document_findings(media.withColumn("tag", F.lit(None).cast("string")))
+    return found.select("page_id", "ord", *(f"region.{x}" for x in ("category", "source", "score", "decision", "bbox")))
 
 
 def visual_regions(found: DataFrame, settings: Column) -> DataFrame:

@@ -44,14 +44,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # text findings -------------------------------------------------------------------------
 
 
-def _findings_sql(rows: str) -> str:
-    """(id, category, match, start, end, confidence) of every finding in ``rows`` (id, text)."""
+def _findings_sql(rows: str, numbered: bool = False) -> str:
+    """(id, category, match, start, end, confidence) of every finding in ``rows`` (id, text),
+    and the rule's place where ``numbered``."""
     parts = []
+    place = lambda: f", {len(parts)} AS r" if numbered else ""
     cut = "CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER)"
     for category, pattern, strong in P.TEXT_PATTERNS:
         words = " OR ".join(f"contains(w, {sql(w)})" for w in P.CONTEXT_WORDS.get(category, [])) or "false"
         parts.append(f"""
-SELECT id, {sql(category)} AS category, match, s, CAST(s + length(match) AS INTEGER) AS e, CASE WHEN {words} THEN 0.95 ELSE {0.8 if strong else 0.35} END::DOUBLE AS confidence
+SELECT id, {sql(category)} AS category, match, s, CAST(s + length(match) AS INTEGER) AS e, CASE WHEN {words} THEN 0.95 ELSE {0.8 if strong else 0.35} END::DOUBLE AS confidence{place()}
 FROM (SELECT *, lower(substr(text, greatest(s - 60, 0) + 1, s + 60 - greatest(s - 60, 0))) AS w FROM (
   SELECT id, text, m[i] AS match, {cut} AS s FROM (
     SELECT id, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
@@ -60,7 +62,7 @@ FROM (SELECT *, lower(substr(text, greatest(s - 60, 0) + 1, s + 60 - greatest(s
         own = "(?i)" + re2(pattern)
         keep = f"WHERE regexp_matches(regexp_extract(match, {sql(own)}, 1), {sql('(?i)[0-9]|' + P.ADDRESS_HINTS)})" if category == "address" else ""
         parts.append(f"""
-SELECT id, {sql(category)} AS category, {"left(match, 160)" if category == "address" else "match"} AS match, s, CAST(s + length(match) AS INTEGER) AS e, {confidence}::DOUBLE AS confidence FROM (
+SELECT id, {sql(category)} AS category, {"left(match, 160)" if category == "address" else "match"} AS match, s, CAST(s + length(match) AS INTEGER) AS e, {confidence}::DOUBLE AS confidence{place()} FROM (
   SELECT id, m[i] AS match, {cut} AS s FROM (
     SELECT id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
       SELECT id, regexp_extract_all(text, {sql(own)}) AS m, regexp_split_to_array(text, {sql(own)}) AS g FROM ({rows})))) {keep}""")
@@ -215,12 +217,39 @@ for _name, _table, _id, _text in (("documents", "documents", "doc_id", "text"),
     query(f"leak_patterns_whole_{_name}", _gate_sql(f"SELECT {_id} AS id, {_text} AS t FROM {_table}"))(lambda spark, d, f=_gated: f(spark, d, most=None))
 
 
-@query("leak_scan_documents")
-def leak_scan_documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(F.concat(leaks.scan_text(F.col("text"), None), leaks.scan_base64(F.col("text")))).alias("f")).select("doc_id", "f.*")
+_LUHN = "list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 0 THEN CAST(substr(x, i, 1) AS INT) WHEN CAST(substr(x, i, 1) AS INT) * 2 > 9 THEN CAST(substr(x, i, 1) AS INT) * 2 - 9 ELSE CAST(substr(x, i, 1) AS INT) * 2 END)) % 10 = 0"
 
 
-_LUHN = "list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 0 THEN CAST(substr(x, i, 1) AS INT) WHEN CAST(substr(x, i, 1) AS INT) * 2 > 9 THEN CAST(substr(x, i, 1) AS INT) * 2 - 9 ELSE CAST(substr(x, i, 1) AS INT) * 2 END)) % 10 = 0"
+def _scan_sql(rows: str) -> str:
+    """(id, category, match, confidence, place) of a leak scan of ``rows`` (id, t), without the
+    insides of base64 bodies: the forms of a text, the rules in order, each category and match
+    once. ``place`` orders the findings of a row."""
+    wide, narrow = sql(leaks._WIDE), sql(leaks._NARROW)
+    forms = f"""SELECT {{'id': id, 'form': form}} AS id, text FROM (
+      SELECT id, t, unnest([0, 1, 2]) AS form, unnest([t, coalesce(TRY(url_decode(replace(t, '+', '%2B'))), t), translate(t, {wide}, {narrow})]) AS text FROM ({rows})
+      WHERE NOT regexp_matches(t, {sql(P.BASE64_BODY)}) AND NOT regexp_matches(t, {sql(P.DATA_URL)})) WHERE form = 0 OR text <> t"""
+    files = sql("(?i)" + "|".join(P.FILE_NAMES))
+    own = [f"""SELECT id, 0 AS r, 0 AS s, 'sensitive_filename' AS category, left(trim(text), 120) AS match, 0.85::DOUBLE AS confidence FROM ({forms})
+      WHERE regexp_matches(text, {files}) AND regexp_matches(text, {sql("(?i)" + re2(chr(92) + "." + chr(92) + "b[a-z0-9]{2,5}" + chr(92) + "b"))}) AND NOT regexp_matches(text, '(?i)https?://')"""]
+    every = lambda r, category, pattern, group=0: f"""SELECT id, {r} AS r, i AS s, '{category}' AS category, m[i] AS match, 0.95::DOUBLE AS confidence FROM (
+      SELECT id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT id, regexp_extract_all(text, {sql(pattern)}, {group}) AS m FROM ({forms})))"""
+    for k, (category, pattern) in enumerate(P.GATE_PATTERNS):
+        # RE2 has no lookahead: the character behind is matched and left out
+        own.append(every(1 + k, category, r"(?i)\b([\w.-]{2,}@[a-z]{2,})(?:[^\w.]|$)", 1) if category == "upi" else every(1 + k, category, re2(pattern)))
+    kept = ", ".join(map(sql, P.ALWAYS_BLOCK))
+    own.append(f"SELECT id, 100 + r AS r, s, category, match, confidence FROM ({_findings_sql(forms, True)}) WHERE category IN ({kept}) OR confidence >= 0.8")
+    own.append(f"SELECT * EXCLUDE x FROM (SELECT *, regexp_replace(match, '[^0-9]', '', 'g') AS x FROM ({every(200, 'creditCard', re2(P.CARD))})) WHERE length(x) BETWEEN 13 AND 19 AND {_LUHN}")
+    key = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {sql(re2(p))}), '')" for p in P.API_KEYS) + ")"
+    own.append(f"SELECT id, 300 AS r, 0 AS s, 'api_key' AS category, {key} AS match, 0.8::DOUBLE AS confidence FROM ({forms}) WHERE {key} IS NOT NULL")
+    own.append(f"SELECT id, 301 AS r, 0 AS s, 'access_token' AS category, regexp_extract(text, {sql(re2(P.BEARER))}) AS match, 0.9::DOUBLE AS confidence FROM ({forms}) WHERE regexp_matches(text, {sql(re2(P.BEARER))})")
+    return f"""SELECT id.id AS id, category, match, confidence, (id.form, r, s) AS place FROM ({" UNION ALL ".join(own)})
+      QUALIFY row_number() OVER (PARTITION BY id.id, category, match ORDER BY id.form, r, s) = 1"""
+
+
+# no text of the tables is a base64 body, whose insides the SQL doesn't scan
+@query("leak_scan_documents", f"SELECT id AS doc_id, category, match, confidence FROM ({_scan_sql('SELECT doc_id AS id, text AS t FROM documents')})")
+def leak_scan_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.explode(F.concat(leaks.scan_text(F.col("text"), None), leaks.scan_base64(F.col("text")))).alias("f")).select("doc_id", "f.*")
 
 
 @query("luhn_cards", f"""
@@ -255,10 +284,37 @@ def payload_gate_conversations(spark: SparkSession, d: str) -> DataFrame:
     return payload_gate(_payloads(spark, d), depth=None).drop("findings")
 
 
+# the turns with addresses, numbers, names of files and repeated keys planted among them
+_TOLD_TURNS = """SELECT conv_id, turn, role || CASE WHEN (conv_id + turn) % 13 = 0 THEN ' ABCDE1234F' ELSE '' END AS role, text || CASE (conv_id * 7 + turn) % 11 WHEN 0 THEN ' write to u' || CAST(conv_id AS {s}) || '@mail.example.org'
+ WHEN 3 THEN ' a%40b.co or 9876543210' WHEN 5 THEN ' card 4111 1111 1111 1111, Bearer abcdefghijklmnop' WHEN 7 THEN ' pan-card-scan.png' ELSE '' END AS text FROM conversations"""
+_LEAVES = f"""SELECT {{'c': conv_id, 'i': i, 'k': k, 'path': '$.turns[' || i || '].' || CASE k WHEN 0 THEN 'role' ELSE 'text' END}} AS id, CASE k WHEN 0 THEN role ELSE text END AS t FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS i, unnest([0, 1]) AS k FROM ({_TOLD_TURNS.replace("{s}", "VARCHAR")}))"""
+TURNS_SQL = f"""WITH f AS ({_scan_sql(_LEAVES)}),
+o AS (SELECT id.c AS c, category || '@' || id.path AS v, row_number() OVER (PARTITION BY id.c ORDER BY id.i, id.k, place) AS n FROM f),
+g AS (SELECT c, count(*) AS n, string_agg(v, ', ' ORDER BY n) FILTER (n <= 10) AS v FROM o GROUP BY c)
+SELECT conv_id AS payload_id, g.n IS NULL AS safe, coalesce(g.n, 0) AS n_findings, coalesce(g.v, '') AS findings FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN g ON conv_id = c"""
+
+
+def turn_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """A payload of each conversation's turns; in every third turn the text's key is repeated
+    behind it, with nothing to find."""
+    t = spark.sql(_TOLD_TURNS.replace("{s}", "STRING").replace("FROM conversations", "FROM {conversations}"), conversations=table(spark, d, "conversations"))
+    turn = lambda x: F.to_json(F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.regexp_replace(turn(x), r"\}$", F.when(x["turn"] % 3 == 0, ',"text":"quiet"}').otherwise("}")))
+    p = t.groupBy("conv_id").agg(F.concat(F.lit('{"turns":['), F.array_join(each, ","), F.lit("]}")).alias("payload"))
+    return p.withColumnRenamed("conv_id", "payload_id")
+
+
+@query("payload_gate_turns", TURNS_SQL)
+def payload_gate_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of the real turns and what is planted in them, with the first ten findings."""
+    return payload_gate(turn_payloads(spark, d)).withColumn("findings", F.array_join("findings", ", "))
+
+
 @query("payload_gate_cases", "SELECT id AS payload_id, expect AS safe FROM " + X.values([(i, e) for i, _, e in X.PAYLOADS], "id, expect"))
 def payload_gate_cases(spark: SparkSession, d: str) -> DataFrame:
     p = spark.createDataFrame([(i, t) for i, t, _ in X.PAYLOADS], "payload_id int, payload string")
-    return payload_gate(p).select("payload_id", "safe")
+    return payload_gate(p, depth=12).select("payload_id", "safe")
 
 
 @query("payload_gate_findings", "SELECT id AS payload_id, findings FROM " + X.values([(i, f) for i, _, f in X.ORDERED_PAYLOADS], "id, findings"))

@@ -75,15 +75,15 @@ def test_documents(spark):
 
 def test_payloads(spark):
     p = spark.createDataFrame([(i, t) for i, t, _ in X.PAYLOADS], "payload_id int, payload string")
-    leaks = payload_leaks(p).collect()
-    assert {i: e for i, _, e in X.PAYLOADS} == {r.payload_id: r.safe for r in payload_gate(p).collect()}
+    leaks = payload_leaks(p, depth=12).collect()
+    assert {i: e for i, _, e in X.PAYLOADS} == {r.payload_id: r.safe for r in payload_gate(p, depth=12).collect()}
     paths = {(r.payload_id, r.path, r.category) for r in leaks}
     assert {(3, "$.a[0].b", "email"), (4, "$.form.password", "sensitive_key"), (7, "$.d (base64)", "pan"), (11, "$" + "[0]" * 12, "unverified")} <= paths
 
 
 def test_scan_length_is_a_parameter(spark):
     t = spark.createDataFrame([("x " * 400 + "ABCDE1234F",)], "t string")
-    assert t.select(F.size(scan_text(F.col("t"))).alias("n"), F.size(scan_text(F.col("t"), None)).alias("m")).first() == (0, 1)
+    assert t.select(F.size(scan_text(F.col("t"), 512)).alias("n"), F.size(scan_text(F.col("t"), None)).alias("m")).first() == (0, 1)
 
 
 def test_patterns_are_translated():
