@@ -86,12 +86,18 @@ def mix_sources(
     """One row per row of ``docs``: id, size, source_size, target, taken.
 
     Null texts have size 0 and are never taken; a null source is a source of its own, last
-    in order; rows with a null id are placed by their size alone. Repeated rows are rows of
-    their own: where they stand at the edge of a run they may get different shares, the
-    same over reruns. An empty table gives no rows; other columns are not looked at.
+    in order; rows with a null id are placed by their text and, of copies, their number, so
+    that many of them are many places. Repeated rows are rows of their own: where they stand
+    at the edge of a run they may get different shares, the same over reruns. An empty table gives no rows; other columns are not looked at.
     """
-    spot = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), spot.alias("spot"))
+    id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(id.alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text).alias("size"), F.when(id.isNull(), F.md5(F.coalesce(text, F.lit("")))).alias("digest"))
+    spot = lambda *name: F.md5(F.concat(F.lit(f"{seed}/"), *name)).alias("spot")
+    sized = rows.where("id is not null").select("id", "source", "size", spot(F.col("id").cast("string")))
+    # rows without an id are counted by text and numbered, so copies are told apart
+    alike = rows.where("id is null").groupBy("id", "source", "size", "digest").agg(F.count(F.lit(1)).alias("n"))
+    alike = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    sized = sized.unionByName(alike.select("id", "source", "size", spot(F.lit("null/"), F.col("digest"), F.lit("/"), F.col("copy").cast("string"))))
     sized = materialise(sized, "mix-sizes")
     number = lambda at, n: F.conv(F.substring("spot", at, n), 16, 10).cast("long")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / shard_docs).cast("long").alias("shards"))
@@ -153,7 +159,7 @@ def _lague(parts: str, seats: str, votes: str, group: str, order: str) -> str:
 OP10_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS spot FROM documents),
+    md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), 'null/' || md5(coalesce(text, '')) || '/' || row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))))) AS spot FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(ceil(count(*) / {SHARD_DOCS}::DOUBLE) AS BIGINT) AS shards FROM sized GROUP BY source),
 w AS (SELECT *, {_WEIGHT} AS weight, CAST(source_size * {MOST} AS DOUBLE) AS cap, sum(source_size) OVER () * {SHARE}::DOUBLE AS total FROM src),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER r, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER r, 0)) AS lev

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,14 +30,16 @@ from pyspark.sql import functions as F
 from quillgate.llm._sketch import marked, sketch
 from quillgate.llm._store import CLEANUP, materialise, settings, shared_path
 
-#: Captures of an archive file.
-PER_FILE = 1000
+#: Captures of an archive file, and bytes of their payloads.
+PER_FILE, FILE_BYTES = 1000, 128 << 20
 #: Parts that the pages of a common payload are joined in.
 SALTS = 16
 MALFORMED = "malformed"
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("8e3c1e0a-7c57-4d0e-9b53-1f6d1f9a2b11")
 _END = "\r\n\r\n"
+_BLANK, _LINES, _STATUS = re.compile(rb"\r?\n\r?\n"), re.compile(rb"(?:\r?\n){0,2}"), re.compile(rb"[0-9]{3}")
+_DIGESTS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
 _IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "warc_type string, record_id string, concurrent_to string, refers_to string, target_uri string, warc_date string, http_status int, payload binary, payload_bytes long, payload_digest string, fields string"
 
@@ -124,12 +128,14 @@ def _captures(p: DataFrame, least: int) -> DataFrame:
     return first.unionByName(copies).select("page", "url", "sha", "copy", "sha1", "size", "html", "keep", "keep_url")
 
 
-def write_warc(pages: DataFrame, path: str, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, per_file: int = PER_FILE) -> None:
+def write_warc(pages: DataFrame, path: str, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, per_file: int = PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Writes every row of ``pages`` as a capture to gzipped archives under ``path``.
 
     Of rows with equal payloads of ``least`` bytes or more, that of the largest id, then url,
     is the response (nulls are the smallest), the others revisit it; so do rows that repeat
-    all of it. A null html is an empty payload; a null url or id is left out of the records.
+    all of it. A file has ``per_file`` captures and payloads of ``file_bytes`` at most, but
+    where one payload alone is larger: captures are written by classes of size, the larger
+    with fewer to a file. A null html is an empty payload; a null url or id is left out of the records.
     No rows, no records; extra columns are not looked at, whatever their names.
     """
     p = pages.select(F.col(page_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -139,9 +145,18 @@ def write_warc(pages: DataFrame, path: str, page_col: str = "page_id", url_col:
             rows = zip(*(c.to_pylist() for c in b.columns))
             yield pa.RecordBatch.from_arrays([pa.array([capture_text(Capture(*r)) for r in rows], pa.string())], names=["value"])
 
-    records = _captures(p, least).mapInArrow(run, "value string")
-    with settings(pages.sparkSession, {CLEANUP: "true"}):
-        records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    # class k: up to file_bytes / per_file * 4 ** k
+    usual = max(1, file_bytes // per_file)
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    last = math.ceil(math.log(per_file, 4)) if per_file > 1 else 0
+    kind = sum((F.when(size > usual * 4**k, 1).otherwise(0) for k in range(last)), F.lit(0))
+    # revisits have no payload, so they are of class 0
+    classes = sorted({0} | {r.k for r in p.select(kind.alias("k")).distinct().collect()})
+    captures = _captures(p, least)
+    for k in classes:
+        own = captures if classes == [0] else captures.where(kind == k)
+        with settings(pages.sparkSession, {CLEANUP: "true"}):
+            own.mapInArrow(run, "value string").write.mode("append").option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", max(1, per_file // 4**k)).text(path)
 
 
 def _unpacked(content: bytes) -> bytes:
@@ -159,39 +174,61 @@ def _unpacked(content: bytes) -> bytes:
     return b"".join(out)
 
 
+def _digest_holds(told: str, payload: bytes) -> bool:
+    """Whether a payload has the digest told as algorithm:value, in hexadecimal or base32 of
+    either case. One of an algorithm or a form that isn't known can't be denied."""
+    name, _, value = told.rpartition(":")
+    name = name.lower().replace("-", "") or "sha1"
+    if name not in _DIGESTS:
+        return True
+    own = hashlib.new(name, payload).digest()
+    if len(value) == 2 * len(own):
+        return value.lower() == own.hex()
+    base32 = base64.b32encode(own).decode().rstrip("=")
+    return value.upper().rstrip("=") == base32 if len(value.rstrip("=")) == len(base32) else True
+
+
 def _parsed(data: bytes, at: int, payloads: bool) -> tuple[tuple, int]:
     """The row of the record at byte ``at``, and where the next one begins."""
-    end = data.index(b"\r\n\r\n", at)
-    lines = data[at:end].split(b"\r\n")
-    if not lines[0].startswith(b"WARC/"):
+    if not data.startswith(b"WARC/", at):
         raise ValueError("no record begins here")
+    end = _BLANK.search(data, at)
+    if end is None:
+        raise ValueError("its header doesn't end")
     h = {}
-    for x in lines[1:]:
+    for x in data[at : end.start()].splitlines()[1:]:
         k, _, v = x.partition(b":")
-        h[k.strip().lower().decode()] = v.strip().decode()
-    start = end + 4
+        h[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
+    start = end.end()
     stop = start + int(h["content-length"])
     if stop < start or stop > len(data):
         raise ValueError("its content is cut off")
     block = data[start:stop]
     kind, fields, status, payload, size = h["warc-type"], None, None, None, None
-    digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-    if h.get("content-type", "").startswith("application/http"):
-        head, _, body = block.partition(b"\r\n\r\n")
-        first = head.split(b" ", 2)
-        status = int(first[1]) if kind != "request" and len(first) > 1 else None
+    digest = h.get("warc-payload-digest") or None
+    if h.get("content-type", "").lower().startswith("application/http"):
+        blank = _BLANK.search(block)
+        head, body = (block[: blank.start()], block[blank.end() :]) if blank else (block, b"")
+        first = head.split(None, 2)
+        if kind != "request" and len(first) > 1 and _STATUS.fullmatch(first[1]):
+            status = int(first[1])
         if kind == "response":
             payload, size = body, len(body)
-            if digest and digest != base32_sha1(body):
+            if digest and not _digest_holds(digest, body):
                 raise ValueError("its payload doesn't match its digest")
     else:
-        fields = block.decode()
-    row = (kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), status, payload if payloads else None, size, digest, fields)
-    return row, stop + 4
+        try:
+            fields = block.decode()
+        except UnicodeDecodeError:  # no text: the block is the payload
+            payload, size = block, len(block)
+    row = (kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), status, payload if payloads else None, size, digest and digest.removeprefix("sha1:"), fields)
+    return row, _LINES.match(data, stop).end()
 
 
 def parse_warc(content: bytes, payloads: bool = True) -> Iterator[tuple]:
-    """Rows of RECORD; blocks are cut by Content-Length. Bytes that are no whole record give
+    """Rows of RECORD; blocks are cut by Content-Length, and lines may end with a line feed
+    alone. A status that isn't three digits is null; a block that is neither HTTP nor text is
+    the payload. Bytes that are no whole record give
     one row of type MALFORMED, ``fields`` saying why, and reading goes on at the next line
     that a record can begin with. A gzip member that is cut off gives what can be read."""
     data, at = _unpacked(content), 0
@@ -201,8 +238,8 @@ def parse_warc(content: bytes, payloads: bool = True) -> Iterator[tuple]:
             yield row
         except (ValueError, KeyError) as e:
             yield (MALFORMED, *[None] * 9, f"byte {at}: {type(e).__name__}: {e}")
-            at = data.find(b"\r\nWARC/", at + 1)
-            at = at + 2 if at >= 0 else len(data)
+            at = data.find(b"\nWARC/", at + 1)
+            at = at + 1 if at >= 0 else len(data)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -89,3 +89,57 @@ def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     write_warc(spark.createDataFrame([], SCHEMA), path)
     assert page_ids(assemble(read_warc(spark, path))).count() == 0
+
+
+def _http(rid, body=b"body", digest=None, status=b"200", end=b"\r\n", kind=b"response"):
+    block = end.join([b"HTTP/1.1 " + status + b" OK", b"X: y", b"", b""]) + body
+    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + rid, b"Content-Type: application/http; msgtype=response", b"Content-Length: " + str(len(block)).encode()]
+    return end.join([*head, *([b"WARC-Payload-Digest: " + digest] if digest else []), b"", b""]) + block + end + end
+
+
+def test_digests_of_other_algorithms():
+    import base64
+    import hashlib
+
+    body = b"body"
+    sha1, sha256, md5 = (hashlib.new(n, body).digest() for n in ("sha1", "sha256", "md5"))
+    b32 = lambda d: base64.b32encode(d)
+    good = [b"sha1:" + b32(sha1), b"sha1:" + b32(sha1).lower(), b"sha1:" + sha1.hex().encode(), b32(sha1), b"sha256:" + b32(sha256), b"SHA-256:" + sha256.hex().upper().encode(), b"md5:" + md5.hex().encode(), b"blake3:whatever", b"sha1:short"]
+    for d in good:
+        assert [r[0] for r in parse_warc(_http(b"a", digest=d))] == ["response"], d
+    other = hashlib.sha256(b"other").digest()
+    for d in (b"sha256:" + b32(other), b"sha256:" + other.hex().encode(), b"sha1:" + b32(hashlib.sha1(b"x").digest()).lower()):
+        assert [r[0] for r in parse_warc(_http(b"a", digest=d))] == [MALFORMED], d
+
+
+def test_statuses_and_line_ends():
+    status = lambda s: [r[6] for r in parse_warc(_http(b"a", status=s))]
+    assert status(b"200") == [200] and status(b"99999999999") == [None] and status(b"xx") == [None] and status(b"") == [None]
+    rows = list(parse_warc(_http(b"a", end=b"\n") + _http(b"b") + _http(b"c", end=b"\n", body=b"") + b"\n\n" + _http(b"d")))
+    assert [(r[0], r[1], r[7]) for r in rows if r[0] != MALFORMED] == [("response", "a", b"body"), ("response", "b", b"body"), ("response", "c", b""), ("response", "d", b"body")]
+
+
+def test_blocks_that_are_no_text(spark, tmp_path):
+    from quillgate.llm.warc import RECORD
+
+    block = bytes(range(256))
+    raw = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: r\r\nContent-Type: image/png\r\nContent-Length: 256\r\n\r\n" + block + b"\r\n\r\n"
+    rows = list(parse_warc(raw + _http(b"a", status=b"12345678901")))
+    assert [(r[0], r[7], r[8], r[10]) for r in rows] == [("resource", block, 256, None), ("response", b"body", 4, None)]
+    (tmp_path / "x.warc").write_bytes(raw + _http(b"a", status=b"12345678901"))
+    got = read_warc(spark, f"file://{tmp_path}/x.warc").collect()
+    assert [(r.warc_type, bytes(r.payload), r.http_status) for r in got] == [("resource", block, None), ("response", b"body", None)]
+    assert [r.capture_id for r in assemble(spark.createDataFrame(got, RECORD)).collect()] == ["a"]
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", f"{i} " + "z" * n) for i, n in enumerate([10] * 60 + [3000] * 9 + [50_000] * 3 + [50_000] * 2)]
+    rows += [(1000 + i, None, "q" * 60_000) for i in range(4)]
+    path = f"file://{tmp_path}/w"
+    write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), path, per_file=16, file_bytes=16_000)
+    held = []
+    for f in (tmp_path / "w").glob("*.gz"):
+        sizes = [r[8] for r in parse_warc(f.read_bytes()) if r[0] == "response"]
+        held += sizes
+        assert sum(sizes) <= 16_000 or len(sizes) == 1
+    assert len(held) == 75 and page_ids(assemble(read_warc(spark, path))).count() == len(rows)

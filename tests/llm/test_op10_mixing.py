@@ -55,3 +55,29 @@ def test_most_documents_are_taken_whole(spark):
 def test_empty_tables(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [x.taken for x in mix_sources(spark.createDataFrame([(1, None, "a"), (2, "", None)], SCHEMA)).collect()] == [0, 0]
+
+
+def test_many_rows_without_an_id_are_many_places(spark):
+    """40,000 of them, a third of these copies of one text, over shards of 5,000."""
+    texts = ["w " * 20 if i % 3 == 0 else " ".join(["v"] * (1 + i % 50)) + f" {i}" for i in range(40_000)]
+    docs = spark.createDataFrame([(None, t, "s") for t in texts] + [(1, "x y z", "t")], SCHEMA)
+    got = mix_sources(docs).collect()
+    assert len(got) == len(texts) + 1
+    size = sum(len(t.split()) for t in texts)
+    want = brute_targets({"s": size, "t": 3})
+    assert abs(sum(r.taken for r in got if r.source_size == size) - want["s"]) <= 0.02 * want["s"] + 64
+    again = mix_sources(docs.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_places_of_rows_without_an_id(spark, monkeypatch):
+    """The shards themselves, as the plan deals them out."""
+    from quillgate.llm import mixing
+
+    seen = {}
+    real = mixing.sainte_lague
+    monkeypatch.setattr(mixing, "sainte_lague", lambda parts, *a: seen.setdefault(len(seen), parts) is None or real(parts, *a))
+    docs = spark.createDataFrame([(None, "same text", "s")] * 4000 + [(None, f"text {i}", "s") for i in range(2000)], SCHEMA)
+    mix_sources(docs, shard_docs=1000).collect()
+    sizes = [r.shard_size for r in seen[1].collect()]
+    assert len(sizes) == 6 and max(sizes) < 2 * sum(sizes) / 6
