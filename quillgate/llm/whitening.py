@@ -3,12 +3,14 @@
 Entries become integers, so sums and deviations from the mean are exact. The fit is over the
 distinct vectors: their centred rows are a distributed matrix, whose right singular vectors
 are the components and whose singular values, squared and over n, the eigenvalues of the
-covariance. The total variance comes from the exact deviations, not from the singular values.
+covariance. Small singular values drown in the rounding of large ones; where they are wanted,
+they are taken from what the rows leave over beside the large components. The total variance
+comes from the exact deviations, not from the singular values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -26,6 +28,9 @@ SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 16
 #: Integers are held within these bounds, so that no entry ends a job.
 BOUND = 1 << 52
 _LONG = (1 << 63) - 1
+#: Share of the largest singular value of a matrix down to which the others are taken from
+#: it; share of the largest of all below which there is only rounding.
+SURE, NOTHING = 1e-4, 1e-12
 
 
 @dataclass
@@ -60,6 +65,13 @@ class Whitening:
         d = self.n * near.astype(object) - np.array(rest, object)
         return (d * d).sum(1).tolist()
 
+    def left_over(self, x: np.ndarray) -> np.ndarray:
+        """What the centred rows are beside the components."""
+        c = self.centred(x)
+        for _ in range(2):  # once more for what rounding has left
+            c = c - c @ self.components.T @ self.components
+        return c
+
     def whitened(self, x: np.ndarray) -> np.ndarray:
         return self.centred(x) @ self.components.T / np.sqrt(self.eigenvalues)
 
@@ -82,10 +94,10 @@ def _vectors(df: DataFrame, array: Column) -> DataFrame:
     return MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(array).alias("v")), "v")
 
 
-def fit_whitening(vectors: DataFrame, x_col: str = "x") -> Whitening | None:
-    """The whitening of the distinct vectors of ``vectors`` (array<long>, of one length); None
-    without any. Components without variance, up to a 10^9th of the largest deviation, are
-    left out."""
+def fit_whitening(vectors: DataFrame, x_col: str = "x", components: int = COMPONENTS) -> Whitening | None:
+    """The whitening of the distinct vectors of ``vectors`` (array<long>, of one length), with
+    ``components`` components or more; None without any vector. Components without variance,
+    up to :data:`NOTHING`, are left out."""
     fit = materialise(vectors.select(F.col(x_col).alias("x")).distinct(), "whiten-fit")
     first = fit.first()
     if first is None:
@@ -119,17 +131,26 @@ def fit_whitening(vectors: DataFrame, x_col: str = "x") -> Whitening | None:
         whole = F.array(*(F.lit(s // w.n).cast("long") for s in w.sums))
         rest = F.array(*(F.lit(s % w.n / w.n) for s in w.sums))
         centred = F.zip_with(F.zip_with("x", whole, lambda a, b: a - b), rest, lambda a, b: a.cast("double") - b)
-        svd = RowMatrix(_vectors(fit, centred), w.n, dims).computeSVD(dims)
-        w.components, w.eigenvalues = svd.V.toArray().T, svd.s.toArray() ** 2 / w.n
+        rows, largest = _vectors(fit, centred), None
+        while len(w.eigenvalues) < min(components, dims):
+            svd = RowMatrix(rows, w.n, dims).computeSVD(dims)
+            s = svd.s.toArray()
+            largest = s[0] if largest is None else largest
+            sure = s >= max(s[0] * SURE, largest * NOTHING)
+            if not sure.any():
+                break
+            w.components = np.concatenate((w.components, svd.V.toArray().T[sure]))
+            w.eigenvalues = np.concatenate((w.eigenvalues, s[sure] ** 2 / w.n))
+            rows = _vectors(_rows(fit, w.left_over, dims), F.col("w"))
         w.identity_error = _identity_error(fit, w)
     drop(fit)
     return w
 
 
-def _whitened(df: DataFrame, w: Whitening, dims: int) -> DataFrame:
+def _rows(df: DataFrame, of: Callable[[np.ndarray], np.ndarray], dims: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([pa.array(list(w.whitened(_matrix(b, dims))), pa.list_(pa.float64()))], names=["w"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(of(_matrix(b, dims))), pa.list_(pa.float64()))], names=["w"])
 
     return df.select("x").mapInArrow(run, "w array<double>")
 
@@ -139,7 +160,7 @@ def _identity_error(fit: DataFrame, w: Whitening, components: int = COMPONENTS)
     identity, over the components that are told."""
     k = min(components, len(w.eigenvalues))
     own = Whitening(w.n, w.sums, w.components[:k], w.eigenvalues[:k], w.variance)
-    c = RowMatrix(_vectors(_whitened(fit, own, len(w.sums)), F.col("w")), w.n, k).computeCovariance().toArray()
+    c = RowMatrix(_vectors(_rows(fit, own.whitened, len(w.sums)), F.col("w")), w.n, k).computeCovariance().toArray()
     return float(np.abs(c * ((w.n - 1) / w.n) - np.eye(k)).max())
 
 
@@ -158,7 +179,7 @@ def whiten(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     rows = embeddings.select(F.col(f"`{id_col}`").alias("_id"), integers(F.col(f"`{vector_col}`")).alias("x")).where("x is not null")
     dims = rows.agg(F.max(F.size("x"))).first()[0] or 0
     rows = rows.where(F.size("x") == dims)
-    w = fit_whitening(rows) if dims else None
+    w = fit_whitening(rows, components=components) if dims else None
     told = ["component int", "n long", "deviation long", "whitened double", "explained double", "identity_error double"]
     schema = f"`{id_col}` {kind}, " + ", ".join(told)
     if w is None or not len(w.eigenvalues):
