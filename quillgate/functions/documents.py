@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ def _evidence(method: str, category: str, weight: float, detail: Column) -> Colu
     return F.struct(F.lit(method).alias("method"), F.lit(category).alias("category"), F.lit(weight).alias("weight"), detail.alias("detail"))
 
 
+def _told(method: str, category: str) -> Callable[[Column], Column]:
+    return lambda word: F.when(word.isNotNull(), _evidence(method, category, 0.85, word))
+
+
 def text_evidence(text: Column, method: str | None = None) -> Column:
     """In order: the two number patterns, then of each keyword group the first word found."""
     out = []
@@ -27,7 +33,8 @@ def text_evidence(text: Column, method: str | None = None) -> Column:
         found = []
         for category, words in P.DOCUMENT_KEYWORDS.items():
             first = F.coalesce(*(F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words))
-            found.append(F.when(first.isNotNull(), _evidence(method or "sensitive_keyword", category, 0.85, first)))
+            # looked for once, though the condition and the value name it
+            found.append(let(first, _told(method or "sensitive_keyword", category)))
         return F.array_compact(F.array(*found))
 
     return F.coalesce(F.concat(F.array_compact(F.array(*out)), let(F.lower(text), groups)), empty(EVIDENCE))
@@ -55,8 +62,8 @@ def redaction_label(category: Column) -> Column:
 
 
 def classify(ocr: Column, file_name: Column, alt: Column, mime: Column, width: Column, height: Column, force: Column) -> Column:
-    """struct<decision, category, confidence, methods, redact, label>. A forced region with
-    no evidence has a confidence of -0.05."""
+    """struct<decision, category, confidence, methods, redact, label, n_evidence>. A forced
+    region with no evidence has a confidence of -0.05."""
     null = lambda c: F.when(c != "", c)
     evidence = F.concat(text_evidence(null(ocr)), text_evidence(null(alt), "alt_text"), file_evidence(null(file_name)), mime_evidence(null(mime)), shape_evidence(width, height))
     force = F.coalesce(force, F.lit(False))
@@ -77,6 +84,7 @@ def classify(ocr: Column, file_name: Column, alt: Column, mime: Column, width: C
             F.array_distinct(F.transform(e, lambda x: x["method"])).alias("methods"),
             F.when(decision == "safe", "field").otherwise("whole_region").alias("redact"),
             F.when(decision != "safe", redaction_label(category)).alias("label"),
+            F.size(e).alias("n_evidence"),
         )
 
     return let(evidence, decided)

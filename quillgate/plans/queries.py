@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgate.functions import decisions as D
 from quillgate.functions import leaks
 from quillgate.functions import patterns as P
-from quillgate.functions.documents import classify, file_evidence, redaction_label, text_evidence
+from quillgate.functions.documents import classify, redaction_label
 from quillgate.functions.fields import classify_field
 from quillgate.functions.perception import host_of, parse_perception, parse_plan, settings_of
 from quillgate.functions.regex import java, re2, sql
@@ -146,9 +146,8 @@ SELECT id, decision, category, round(confidence, 4) AS confidence, CAST(len(e) A
 def _classified(d: DataFrame, id: str, ocr: Column, file: Column) -> DataFrame:
     none = F.lit(None).cast("string")
     c = classify(ocr, file, none, none, F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(False))
-    n = F.size(text_evidence(F.when(ocr != "", ocr))) + F.coalesce(F.size(file_evidence(F.when(file != "", file))), F.lit(0))
-    d = d.select(F.col(id).alias("id"), c.alias("c"), n.alias("n"))
-    return d.select("id", "c.decision", "c.category", F.round("c.confidence", 4).alias("confidence"), F.col("n").alias("n_evidence"), "c.label")
+    d = d.select(F.col(id).alias("id"), c.alias("c"))
+    return d.select("id", "c.decision", "c.category", F.round("c.confidence", 4).alias("confidence"), "c.n_evidence", "c.label")
 
 
 @query("classify_documents", _decided_sql(f"SELECT doc_id AS id, [{_keyword_sql('text')}] AS e FROM documents"))
@@ -285,7 +284,7 @@ def payload_gate_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the turns with addresses, numbers, names of files and repeated keys planted among them
-_TOLD_TURNS = """SELECT conv_id, turn, role || CASE WHEN (conv_id + turn) % 13 = 0 THEN ' ABCDE1234F' ELSE '' END AS role, text || CASE (conv_id * 7 + turn) % 11 WHEN 0 THEN ' write to u' || CAST(conv_id AS {s}) || '@mail.example.org'
+_TOLD_TURNS = """SELECT conv_id, turn, role || CASE WHEN (conv_id + turn) % 67 = 0 THEN ' ABCDE1234F' ELSE '' END AS role, text || CASE (conv_id * 7 + turn) % 41 WHEN 0 THEN ' write to u' || CAST(conv_id AS {s}) || '@mail.example.org'
  WHEN 3 THEN ' a%40b.co or 9876543210' WHEN 5 THEN ' card 4111 1111 1111 1111, Bearer abcdefghijklmnop' WHEN 7 THEN ' pan-card-scan.png' ELSE '' END AS text FROM conversations"""
 _LEAVES = f"""SELECT {{'c': conv_id, 'i': i, 'k': k, 'path': '$.turns[' || i || '].' || CASE k WHEN 0 THEN 'role' ELSE 'text' END}} AS id, CASE k WHEN 0 THEN role ELSE text END AS t FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS i, unnest([0, 1]) AS k FROM ({_TOLD_TURNS.replace("{s}", "VARCHAR")}))"""

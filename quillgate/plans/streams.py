@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from quillgate.functions import patterns as P
 from quillgate.functions.dates import clock, epoch_ms, iso_utc
+from quillgate.functions.decisions import retry_class
 from quillgate.functions.regex import sql
 from quillgate.functions.text import findings
-from quillgate.operators import ordered, quality, settings
+from quillgate.operators import ordered, quality, rules, settings
 from quillgate.plans.queries import TURNS_SQL, _file_sql, _findings_sql, _keyword_sql, query, table, turn_payloads
 from quillgate.sources.files import shared_folder
 from quillgate.sources.snapshots import snapshot_stream
-from quillgate.streaming import counters, egress, snapshots, task_log
+from quillgate.streaming import attempts, counters, egress, latency, snapshots, task_log
 
 
 def _in_files(rows: DataFrame, folder: str, by: str, files: int) -> None:
@@ -246,3 +247,63 @@ def detector_curve(spark: SparkSession, d: str) -> DataFrame:
     told = table(spark, d, "labels").join(docs.select("doc_id", "lang", score.alias("score")), "doc_id").withColumn("expected", F.col("toxic") == 1)
     c = quality.threshold_curve(told, "lang")
     return c.withColumns({"threshold": F.round("threshold", 6), **{r: F.round(r, 9) for r in ("precision", "recall", "f1")}})
+
+
+# attempts --------------------------------------------------------------------------------
+
+_TRIED = "CASE WHEN value < 2 THEN 'browser:upload_file' ELSE 'mouse:click' END"
+
+
+@query("event_attempts_stream", f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(date_trunc('millisecond', ts)) AS ms, event_type NOT IN ('error', 'purchase', 'view') AS ok, {_TRIED} AS variant, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('millisecond', ts), event_id) AS n FROM events),
+r AS (SELECT *, 1 AS attempt, CASE WHEN ok THEN 'done' WHEN variant = 'browser:upload_file' THEN 'confirm' ELSE 'retry' END AS next FROM e WHERE n = 1
+  UNION ALL SELECT e.*, a, CASE WHEN e.ok THEN 'done' WHEN e.variant = 'browser:upload_file' THEN 'confirm' WHEN a >= 3 THEN 'stop' ELSE 'retry' END
+  FROM (SELECT r.user_id AS u, r.n + 1 AS m, r.ms AS before, r.attempt AS t, r.next AS nx FROM r) p JOIN e ON e.user_id = u AND e.n = m, LATERAL (SELECT CASE WHEN nx = 'retry' AND e.ms <= before + 14400000 * t THEN t + 1 ELSE 1 END AS a))
+SELECT event_id, CAST(attempt AS INTEGER) AS attempt, next FROM r
+UNION ALL SELECT event_id, CAST(attempt AS INTEGER), 'expired' FROM r WHERE next = 'retry' AND NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = r.user_id AND e.n = r.n + 1 AND e.ms <= r.ms + 14400000 * r.attempt)""")
+def event_attempts_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as tries; four hours, and more with each attempt, are waited for the
+    next. A row of no user behind all lets the last ones end."""
+    root, none = shared_folder(spark, "attempts"), F.lit(None).cast("string")
+    cls = retry_class(F.col("variant"), none, none, none)
+    e = table(spark, d, "events").select("user_id", F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"), (~F.col("event_type").isin("error", "purchase", "view")).alias("ok"), F.expr(_TRIED).alias("variant"))
+    tries = e.select("user_id", "ts", "seq", "ok", F.lit(False).alias("succeeded"), cls.alias("retry"))
+    # out of order within a day
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    half = F.col("ts") + F.expr("make_interval(0, 0, 0, 0, pmod(seq * 7, 20))") > F.lit(first + (last - first) / 2)
+    _in_files(tries.withColumn("_h", half.cast("int")), f"{root}/in", "_h", 2)
+    end = tries.agg(F.max("ts").alias("ts"), F.max("retry").alias("retry")).select(F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr("interval 90 days")).alias("ts"), F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("ok"), F.lit(False).alias("succeeded"), "retry", F.lit(2).alias("_h"))
+    end.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    told = attempts.attempt_stream(stream, "user_id", wait_ms=14_400_000, late="2 days")
+    attempts.attempts_sink(told, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{root}/out").where("user_id is not null").select(F.col("seq").alias("event_id"), "attempt", "next")
+
+
+# rules -----------------------------------------------------------------------------------
+
+
+@query("rule_hits_documents", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{c}' AS rule, CASE " + " ".join(f"WHEN contains(t, {sql(w)}) THEN {sql(w)}" for w in words) + " END AS word FROM (SELECT doc_id, lower(text) AS t FROM documents)" for c, words in P.DOCUMENT_KEYWORDS.items()
+) + ") WHERE word IS NOT NULL")
+def rule_hits_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword groups of documents as a table of rules over all texts."""
+    r = spark.createDataFrame(list(P.DOCUMENT_KEYWORDS.items()), "rule string, words array<string>")
+    return rules.rule_hits(table(spark, d, "documents"), r, "doc_id", "text").drop("at")
+
+
+# latency ---------------------------------------------------------------------------------
+
+
+@query("scan_latency", f"SELECT count(*) AS scans, count(*) FILTER (NOT safe) AS blocked, true AS in_order FROM ({TURNS_SQL})")
+def scan_latency(spark: SparkSession, d: str) -> DataFrame:
+    """Scans of all turns' payloads in two batches, each looked at once: how many, how many
+    blocked, and whether the times by rank lie in order between 0 and the longest."""
+    rows, parts = turn_payloads(spark, d), []
+    for k in range(2):
+        own, seen = latency.timed(rows.where(F.expr(f"pmod(payload_id, 2) = {k}")))
+        own.write.format("noop").mode("overwrite").save()
+        parts.append(latency.scans(seen))
+    whole = latency.merged(spark, parts)
+    q = list(latency.quantiles(spark, whole).values())
+    return spark.createDataFrame([(whole.n, whole.blocked, [0, *q, whole.most_ns] == sorted([0, *q, whole.most_ns]))], "scans long, blocked long, in_order boolean")
