@@ -16,14 +16,14 @@ def privacy_state(scan_safe: Column, regions: Column, redaction_ok: Column, perc
     """struct<state, reason>; a scan that is null was not made, and proves nothing."""
     some = F.coalesce(regions, F.lit(0)) > 0
     rows = [
-        (scan_safe == F.lit(False), "BLOCKED", "final payload scanner detected a leak"),
-        (scan_safe.isNull(), "UNVERIFIED", "final payload scanner failed (cannot prove safety)"),
-        (~_on(redaction_ok, True), "UNVERIFIED", "redaction layer failed — cannot produce sanitized payload"),
-        (_on(uncertain, False), "SUSPICIOUS", "uncertain high-sensitivity document — must redact whole region"),
-        (some & ~_on(perception_ok, True) & ~_on(ocr, True), "UNVERIFIED", "sensitive content present but perception/OCR unavailable"),
-        (some, "SUSPICIOUS", "sensitive content detected — redaction required"),
+        (scan_safe == F.lit(False), "BLOCKED", P.STATE_REASONS["leak"]),
+        (scan_safe.isNull(), "UNVERIFIED", P.STATE_REASONS["no_scan"]),
+        (~_on(redaction_ok, True), "UNVERIFIED", P.STATE_REASONS["redaction"]),
+        (_on(uncertain, False), "SUSPICIOUS", P.STATE_REASONS["document"]),
+        (some & ~_on(perception_ok, True) & ~_on(ocr, True), "UNVERIFIED", P.STATE_REASONS["blind"]),
+        (some, "SUSPICIOUS", P.STATE_REASONS["regions"]),
     ]
-    out = F.struct(F.lit("SAFE").alias("state"), F.lit("payload proven safe").alias("reason"))
+    out = F.struct(F.lit("SAFE").alias("state"), F.lit(P.STATE_REASONS["safe"]).alias("reason"))
     for when, state, reason in reversed(rows):
         out = F.when(when, F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"))).otherwise(out)
     return out
@@ -40,10 +40,10 @@ def retry_class(variant: Column, target_path: Column, target_label: Column, cont
     harmful = F.exists(F.array(*map(F.lit, P.DESTRUCTIVE_WORDS)), lambda w: F.contains(words, w))
     told = lambda retry, reason: F.struct(F.lit(retry).alias("retryable"), F.lit(not retry).alias("requires_confirmation"), F.lit(reason).alias("reason"))
     return (
-        F.when(variant.isin(P.PRIVATE_VARIANTS), told(False, "sensitive/destructive action (fills or uploads private data)"))
-        .when(variant.isin(P.SAFE_VARIANTS), told(True, "observational/low-risk action"))
-        .when(harmful, told(False, "action targets a submit/pay/send/delete style control"))
-        .otherwise(told(True, "neutral action"))
+        F.when(variant.isin(P.PRIVATE_VARIANTS), told(False, P.RETRY_REASONS["private"]))
+        .when(variant.isin(P.SAFE_VARIANTS), told(True, P.RETRY_REASONS["safe"]))
+        .when(harmful, told(False, P.RETRY_REASONS["harmful"]))
+        .otherwise(told(True, P.RETRY_REASONS["neutral"]))
     )
 
 
@@ -100,6 +100,20 @@ def status_title(blocked: Column, running: Column, model: Column, ocr: Column) -
     )
 
 
+def status_detail(blocked: Column, running: Column, model: Column, ocr: Column, remote_allowed: Column) -> Column:
+    """The sentence beside :func:`status_title`; a blocked request's is its reason."""
+    return (
+        F.when(F.coalesce(blocked, F.lit("")) != "", blocked)
+        .when(_on(running, False), P.STATUS_DETAIL["running"])
+        .when(model == "loading", P.STATUS_DETAIL["loading"])
+        .when(model == "unavailable", P.STATUS_DETAIL["unavailable"])
+        .when(ocr == F.lit(False), P.STATUS_DETAIL["no_ocr"])
+        .when((model == "ready") & _on(remote_allowed, False), P.STATUS_DETAIL["ready_remote"])
+        .when(model == "ready", P.STATUS_DETAIL["ready"])
+        .otherwise(P.STATUS_DETAIL["other"])
+    )
+
+
 def pipeline_steps(blocked: Column, running: Column, model: Column, ocr: Column, regions: Column, scan_ok: Column) -> Column:
     """array<struct<id, state>> of the five steps."""
     stop, run, good = F.coalesce(blocked, F.lit("")) != "", _on(running, False), _on(scan_ok, False)

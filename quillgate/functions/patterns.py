@@ -163,3 +163,33 @@ LOCAL_FIELDS = ["selectorPath", "value", "fileDataUrl", "fileName"]
 STATUS = {
     "blocked": "Request blocked", "running": "Processing locally", "loading": "Loading local model", "unavailable": "Local model unavailable", "no_ocr": "Needs attention", "ready": "Protected locally", "other": "Protected",
 }
+
+# fixed values: what the status says beside its title
+STATUS_DETAIL = {
+    "running": "Inspecting and sanitizing page context before anything leaves the browser.",
+    "loading": "A local model is initializing on this device.",
+    "unavailable": "Visual context cannot be verified; requests are blocked or fall back to DOM-only checks.",
+    "no_ocr": "Local OCR is unavailable. Suspicious images are redacted in full or blocked.",
+    "ready_remote": "Local processing active; remote reasoning receives only sanitized context.",
+    "ready": "Local processing active; remote reasoning is disabled.",
+    "other": "Privacy layer is active. Local model not configured (DOM-only protection).",
+}
+
+# fixed values: why a privacy state holds
+STATE_REASONS = {
+    "leak": "final payload scanner detected a leak",
+    "no_scan": "final payload scanner failed (cannot prove safety)",
+    "redaction": "redaction layer failed — cannot produce sanitized payload",
+    "document": "uncertain high-sensitivity document — must redact whole region",
+    "blind": "sensitive content present but perception/OCR unavailable",
+    "regions": "sensitive content detected — redaction required",
+    "safe": "payload proven safe",
+}
+
+# fixed values: why an action may be tried again or not
+RETRY_REASONS = {
+    "private": "sensitive/destructive action (fills or uploads private data)",
+    "safe": "observational/low-risk action",
+    "harmful": "action targets a submit/pay/send/delete style control",
+    "neutral": "neutral action",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgate.functions import decisions as D
 from quillgate.functions import leaks
 from quillgate.functions import patterns as P
-from quillgate.functions.documents import classify, redaction_label
+from quillgate.functions.documents import classify, redaction_label, shape_evidence
 from quillgate.functions.fields import classify_field
 from quillgate.functions.perception import host_of, parse_perception, parse_plan, settings_of
 from quillgate.functions.regex import java, re2, sql
@@ -176,7 +176,7 @@ _SIZES = "SELECT s_suppkey AS id, 300 + s_suppkey * 37 % 900 AS w, s_suppkey * 5
 @query("card_shapes", f"SELECT id, coalesce(w * 1.0::DOUBLE / nullif(h, 0) BETWEEN 1.35 AND 1.85, false) AS card_like FROM ({_SIZES})")
 def card_shapes(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("300 + s_suppkey * 37 % 900").alias("w"), F.expr("s_suppkey * 53 % 700").alias("h"))
-    return s.select("id", F.coalesce(F.try_divide(F.col("w").cast("double"), F.col("h")).between(1.35, 1.85), F.lit(False)).alias("card_like"))
+    return s.select("id", (F.size(shape_evidence(F.col("w"), F.col("h"))) > 0).alias("card_like"))
 
 
 @query("png_headers", "SELECT * FROM (VALUES (0, 1, 1), (1, NULL, NULL), (2, NULL, NULL), (3, 400, 252)) t(id, width, height)")

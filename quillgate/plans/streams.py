@@ -3,19 +3,21 @@ written from the given tables, run until all is read, and are read back from the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgate.functions import patterns as P
 from quillgate.functions.dates import clock, epoch_ms, iso_utc
-from quillgate.functions.decisions import retry_class
+from quillgate.functions.decisions import privacy_state, retry_class, status_detail, status_level, status_title
 from quillgate.functions.regex import sql
 from quillgate.functions.text import findings
-from quillgate.operators import ordered, quality, rules, settings
-from quillgate.plans.queries import TURNS_SQL, _file_sql, _findings_sql, _keyword_sql, query, table, turn_payloads
+from quillgate.operators import gate, ordered, quality, rules, settings
+from quillgate.operators.payloads import payload_nodes, verdict
+from quillgate.plans.queries import _LEAVES, TURNS_SQL, _file_sql, _findings_sql, _keyword_sql, query, table, turn_payloads
 from quillgate.sources.files import shared_folder
+from quillgate.sources.html import page_elements
 from quillgate.sources.snapshots import snapshot_stream
-from quillgate.streaming import attempts, counters, egress, latency, snapshots, task_log
+from quillgate.streaming import attempts, changes, counters, egress, latency, snapshots, task_log
 
 
 def _in_files(rows: DataFrame, folder: str, by: str, files: int) -> None:
@@ -307,3 +309,85 @@ def scan_latency(spark: SparkSession, d: str) -> DataFrame:
     whole = latency.merged(spark, parts)
     q = list(latency.quantiles(spark, whole).values())
     return spark.createDataFrame([(whole.n, whole.blocked, [0, *q, whole.most_ns] == sorted([0, *q, whole.most_ns]))], "scans long, blocked long, in_order boolean")
+
+
+# what is told of pages and turns ----------------------------------------------------------
+
+# the links of a page, some with an address, a number or a date behind their text
+_LINKED = """label || CASE (page_id * 5 + ord) % 19 WHEN 0 THEN ' a@b.co' WHEN 4 THEN ' call 9876543210' WHEN 9 THEN ' 01/02/1990' WHEN 11 THEN ' room 4321' ELSE '' END"""
+_LINKS_SQL = f"""l AS (SELECT page_id, i - 1 AS ord, m[i] AS label FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1) AS m FROM pages))),
+e AS (SELECT page_id, ord, {_LINKED} AS label FROM l),
+f AS (SELECT id.p AS page_id, id.o AS ord, arg_min(category, (r, s)) AS category, max(confidence) AS best FROM ({_findings_sql("SELECT {'p': page_id, 'o': ord} AS id, label AS text FROM e", True)}) GROUP BY id)"""
+_URLS_SQL = f"u AS (SELECT DISTINCT id FROM ({_findings_sql('SELECT page_id AS id, url AS text FROM pages')}))"
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of every page's links, in their order."""
+    a = page_elements(table(spark, d, "pages").select("page_id", "html")).where("tag = 'a'").withColumn("at", F.monotonically_increasing_id())
+    ranked = a.withColumn("ord", F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1)
+    e = ranked.withColumn("label", F.expr(_LINKED))
+    none = F.lit(None).cast("string")
+    return gate.element_verdicts(e.select("page_id", "ord", "label", F.col("tag").alias("type"), F.col("label").alias("text"), F.lit(False).alias("flagged"), none.alias("kind"), F.lit(0.8).alias("confidence")))
+
+
+@query("gate_regions_pages", f"WITH {_LINKS_SQL} SELECT page_id, CAST(ord AS INTEGER) AS ord, category, 'regex' AS source, greatest(0.8::DOUBLE, best) AS score FROM f")
+def gate_regions_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The sensitive ones of every page's links."""
+    return gate.regions(_links(spark, d))
+
+
+@query("gate_context_pages", f"""
+WITH {_LINKS_SQL}, {_URLS_SQL},
+k AS (SELECT page_id, category, min(ord) AS o FROM f GROUP BY page_id, category),
+ks AS (SELECT page_id, string_agg(category, ', ' ORDER BY o, category) AS kinds FROM k GROUP BY page_id),
+t AS (SELECT page_id, label, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM e WHERE label <> '' AND (page_id, ord) NOT IN (SELECT (page_id, ord) FROM f)),
+ts AS (SELECT page_id, string_agg(CASE WHEN length(label) > 120 THEN left(label, 120) || '…' ELSE label END, ', ' ORDER BY n) AS others FROM t WHERE n <= 25 GROUP BY page_id)
+SELECT page_id, concat_ws(' ', CASE WHEN u.id IS NOT NULL THEN '[REDACTED]' WHEN length(url) > 120 THEN left(url, 120) || '…' ELSE nullif(url, '') END,
+  'This page contains the following sensitive field types (values withheld): ' || kinds || '.', 'Other visible non-sensitive elements: ' || others || '.', 'User task: read page ' || page_id) AS context
+FROM pages LEFT JOIN ks USING (page_id) LEFT JOIN ts USING (page_id) LEFT JOIN u ON u.id = page_id""")
+def gate_context_pages(spark: SparkSession, d: str) -> DataFrame:
+    """What may be told of every page: its address, kinds of sensitive links, other links."""
+    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("description"), F.concat(F.lit("read page "), F.col("page_id").cast("string")).alias("instruction"))
+    return gate.context(_links(spark, d), pages)
+
+
+@query("privacy_state_turns", f"""
+WITH v AS ({TURNS_SQL}), f AS (SELECT id.c AS c, count(*) AS n FROM ({_findings_sql(f"SELECT id, t AS text FROM ({_LEAVES})")}) GROUP BY id.c)
+SELECT payload_id, CASE WHEN NOT safe THEN 'BLOCKED' WHEN coalesce(n, 0) > 0 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS state,
+  CASE WHEN NOT safe THEN {sql(P.STATE_REASONS["leak"])} WHEN coalesce(n, 0) > 0 THEN {sql(P.STATE_REASONS["regions"])} ELSE {sql(P.STATE_REASONS["safe"])} END AS reason FROM v LEFT JOIN f ON c = payload_id""")
+def privacy_state_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The state of each conversation: blocked by its scan, or suspicious for what is found in
+    its turns, surely or not."""
+    rows = turn_payloads(spark, d)
+    v = rows.select("payload_id", verdict(F.col("payload")).alias("v"), F.filter(payload_nodes(F.col("payload")), lambda n: n["s"].isNotNull()).alias("nodes"))
+    n = F.aggregate(F.transform("nodes", lambda x: F.size(findings(x["s"]))), F.lit(0), lambda a, x: a + x)
+    state = privacy_state(F.col("v.safe"), n, F.lit(True), F.lit(True), F.lit(True), F.lit(False))
+    return v.select("payload_id", state.alias("s")).select("payload_id", "s.state", "s.reason")
+
+
+@query("activity_log_props", """
+SELECT user_id, event_id AS seq, 'value=[redacted] kind=' || event_type || ' n=' || CAST(event_id AS VARCHAR) AS props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20""")
+def activity_log_props(spark: SparkSession, d: str) -> DataFrame:
+    """The last twenty entries of each user with their properties, as they may be shown."""
+    e = table(spark, d, "events")
+    props = F.create_map(F.lit("value"), F.col("value").cast("string"), F.lit("kind"), F.col("event_type"), F.lit("n"), F.col("event_id").cast("string"))
+    log = e.select("user_id", "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("event"), props.alias("props"))
+    told = changes.activity_view(log, "user_id")
+    return told.select("user_id", "seq", F.concat_ws(" ", F.transform(F.map_entries("props"), lambda x: F.concat_ws("=", x["key"], x["value"]))).alias("props"))
+
+
+@query("status_of_users", f"""
+WITH l AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id) AS models FROM events)
+SELECT user_id, CASE event_type WHEN 'purchase' THEN 'blocked' WHEN 'click' THEN 'processing' WHEN 'error' THEN 'model_unavailable' WHEN 'view' THEN 'attention' ELSE 'protected' END AS level,
+  CASE event_type WHEN 'purchase' THEN {sql(P.STATUS["blocked"])} WHEN 'click' THEN {sql(P.STATUS["running"])} WHEN 'error' THEN {sql(P.STATUS["unavailable"])} WHEN 'view' THEN {sql(P.STATUS["no_ocr"])} ELSE {sql(P.STATUS["ready"])} END AS title,
+  CASE event_type WHEN 'purchase' THEN 'purchase ' || event_id WHEN 'click' THEN {sql(P.STATUS_DETAIL["running"])} WHEN 'error' THEN {sql(P.STATUS_DETAIL["unavailable"])} WHEN 'view' THEN {sql(P.STATUS_DETAIL["no_ocr"])}
+    ELSE CASE WHEN models > 10 THEN {sql(P.STATUS_DETAIL["ready_remote"])} ELSE {sql(P.STATUS_DETAIL["ready"])} END END AS detail FROM l WHERE n = 1""")
+def status_of_users(spark: SparkSession, d: str) -> DataFrame:
+    """What the status shows after each user's last event: level, title and detail."""
+    e = table(spark, d, "events")
+    last = e.groupBy("user_id").agg(F.max_by(F.struct("event_type", "event_id"), F.struct("ts", "event_id")).alias("l"), F.count_if(F.col("event_type") == "signup").alias("signups"))
+    kind = F.col("l.event_type")
+    blocked = F.when(kind == "purchase", F.concat(F.lit("purchase "), F.col("l.event_id").cast("string")))
+    model = F.when(kind == "error", "unavailable").otherwise("ready")
+    running, ocr = kind == "click", kind != "view"
+    return last.select("user_id", status_level(blocked, running, model, ocr).alias("level"), status_title(blocked, running, model, ocr).alias("title"), status_detail(blocked, running, model, ocr, F.col("signups") > 10).alias("detail"))
