@@ -16,7 +16,7 @@ from quillgate.sources.files import shared_folder
 _PART = "_range"
 
 
-def _columns(rows: DataFrame, *wanted: str) -> list[str]:
+def own_columns(rows: DataFrame, *wanted: str) -> list[str]:
     """Names for own columns, with underscores added until no column of ``rows`` has them."""
     taken, out = {c.lower() for c in rows.columns}, []
     for w in wanted:
@@ -47,7 +47,7 @@ def running(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column]
     nulls) and ``latest``, the largest value so far (null where all are). Of rows alike in key
     and order the order is open. A null key is a key of its own; an empty table gives no rows.
     """
-    part, k, told, before = _columns(rows, _PART, "_key", "_told", "_before")
+    part, k, told, before = own_columns(rows, _PART, "_key", "_told", "_before")
     latest = latest or {}
     own = rows.withColumns({**{c: F.coalesce(v, F.lit(0)) for c, v in sums.items()}, **latest})
     by = [F.col(f"`{c}`") for c in (key, *order)]

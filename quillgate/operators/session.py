@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from quillgate.functions import patterns as P
 from quillgate.functions.decisions import recovery
+from quillgate.operators.ordered import own_columns
 
 MOST_ATTEMPTS, WAIT_MS = 3, 1000
 MARK = "[REDACTED]"
@@ -71,8 +72,9 @@ def attempts(tries: DataFrame, key: str, most: int = MOST_ATTEMPTS) -> DataFrame
     attempt = F.col("attempt")
     after = F.when(F.coalesce("ok", F.lit(False)), "done").otherwise(recovery(F.col("retry"), F.col("succeeded"), attempt, F.lit(most)))
     w = W.partitionBy(key).orderBy("attempt").rowsBetween(W.unboundedPreceding, -1)
-    ended = tries.withColumn("next", after).withColumn("_ended", F.coalesce(F.max(F.col("next") != "retry").over(w), F.lit(False)))
-    return ended.where("not _ended").drop("_ended").withColumn("wait_ms", F.when(F.col("next") == "retry", attempt.cast("long") * WAIT_MS))
+    own = own_columns(tries, "_ended")[0]
+    ended = tries.withColumn("next", after).withColumn(own, F.coalesce(F.max(F.col("next") != "retry").over(w), F.lit(False)))
+    return ended.where(~F.col(own)).drop(own).withColumn("wait_ms", F.when(F.col("next") == "retry", attempt.cast("long") * WAIT_MS))
 
 
 def diagnostics(items: DataFrame) -> DataFrame:

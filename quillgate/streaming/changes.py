@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgate.functions import patterns as P
+from quillgate.operators.ordered import own_columns
 
 THRESHOLD = 0.02
 
@@ -29,8 +30,9 @@ def hamming(a: Column, b: Column) -> Column:
 def changed(rows: DataFrame, key: str, order: str, bits: str, threshold: float = THRESHOLD) -> DataFrame:
     """Adds changed: true for the first of a key, else whether the bits differ from those
     just before by more than the threshold."""
+    own = own_columns(rows, "_before")[0]
     before = F.lag(bits).over(W.partitionBy(key).orderBy(order))
-    return rows.withColumn("_before", before).withColumn("changed", F.col("_before").isNull() | (hamming(F.col(bits), F.col("_before")) > threshold)).drop("_before")
+    return rows.withColumn(own, before).withColumn("changed", F.col(own).isNull() | (hamming(F.col(bits), F.col(own)) > threshold)).drop(own)
 
 
 def last_known(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -4,9 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgate.functions.decisions import retry_class
+from quillgate.functions import patterns as P
+from quillgate.functions.decisions import retry_class, status_detail
 from quillgate.functions.perception import host_of, settings_of, visible
 from quillgate.operators import gate, pixels, session
+from quillgate.sources.html import page_elements
+from quillgate.streaming import changes
 
 
 @pytest.mark.parametrize(
@@ -74,3 +77,28 @@ def test_blur_spreads_what_it_covers():
     untouched = np.ones((80, 90), bool)
     untouched[8:72, 8:82] = False
     assert (out[untouched] == image[untouched]).all() and (out[..., 3] == 255).all()
+
+
+def test_own_columns_stay(spark):
+    d = spark.createDataFrame([("a", 1, [0, 1], "mine", 7)], "k string, o int, bits array<int>, _before string, __before int")
+    assert changes.changed(d, "k", "o", "bits").first().asDict() == {"k": "a", "o": 1, "bits": [0, 1], "_before": "mine", "__before": 7, "changed": True}
+    none = F.lit(None).cast("string")
+    t = spark.createDataFrame([("a", 1, True, False, "mine")], "id string, attempt int, ok boolean, succeeded boolean, _ended string").withColumn("retry", retry_class(none, none, none, none))
+    assert session.attempts(t, "id").first()["_ended"] == "mine"
+
+
+def test_empty_tables_of_all_views(spark):
+    d = spark.createDataFrame([], "k string, ts timestamp, seq long, event string, props map<string,string>, v int")
+    assert changes.activity_view(d, "k").count() == changes.last_known(d, "k", "seq", "v").count() == changes.running_counters(d, "k", "seq", ["v"]).count() == 0
+    pages = spark.createDataFrame([], "page_id long, html string, description string, instruction string")
+    assert page_elements(pages).count() == 0
+    e = pages.selectExpr("page_id", "1 as ord", "html as label", "html as type", "html as text", "true as flagged", "html as kind", "0.5D as confidence")
+    assert gate.context(gate.element_verdicts(e), pages).count() == gate.regions(gate.element_verdicts(e)).count() == 0
+    assert pixels.image_regions(spark.createDataFrame([], "image_id int, width int, height int, rgba binary")).count() == 0
+
+
+def test_status_details(spark):
+    rows = [("leak", True, "ready", True, True), (None, True, None, None, None), ("", False, "loading", None, None), (None, None, "unavailable", None, None), (None, None, "ready", False, True), (None, None, "ready", None, True), (None, None, "ready", None, None), (None, None, None, None, True)]
+    s = spark.createDataFrame(rows, "b string, r boolean, m string, o boolean, a boolean")
+    got = [x.t for x in s.select(status_detail(*(F.col(c) for c in "brmoa")).alias("t")).collect()]
+    assert got == ["leak", *(P.STATUS_DETAIL[k] for k in ("running", "loading", "unavailable", "no_ocr", "ready_remote", "ready", "other"))]
