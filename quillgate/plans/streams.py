@@ -391,3 +391,13 @@ def status_of_users(spark: SparkSession, d: str) -> DataFrame:
     model = F.when(kind == "error", "unavailable").otherwise("ready")
     running, ocr = kind == "click", kind != "view"
     return last.select("user_id", status_level(blocked, running, model, ocr).alias("level"), status_title(blocked, running, model, ocr).alias("title"), status_detail(blocked, running, model, ocr, F.col("signups") > 10).alias("detail"))
+
+
+@query("page_link_fields", r"""
+SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, m[i] AS label, h[i] AS href, 'html > body > nav > ul > ' || CASE WHEN len(m) > 1 THEN 'li:nth-of-type(' || i || ')' ELSE 'li' END || ' > a' AS selector_path, 'link' AS role
+FROM (SELECT page_id, m, h, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1) AS m, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages))""")
+def page_link_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's links as fields: their labels, targets and paths."""
+    a = page_elements(table(spark, d, "pages").select("page_id", "html")).where("element = 'field' and tag = 'a'").withColumn("at", F.monotonically_increasing_id())
+    ord = F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1
+    return a.select("page_id", ord.alias("ord"), "label", "href", "selector_path", "role")
