@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quillgate.functions import patterns as P
 from quillgate.functions.dates import clock, epoch_ms, iso_utc
 from quillgate.functions.decisions import privacy_state, retry_class, status_detail, status_level, status_title
+from quillgate.functions.fields import classify_field
+from quillgate.functions.perception import parse_perception, parse_plan
 from quillgate.functions.regex import sql
 from quillgate.functions.text import findings
 from quillgate.operators import gate, ordered, quality, rules, settings
@@ -16,6 +18,7 @@ from quillgate.operators.payloads import payload_nodes, verdict
 from quillgate.plans.queries import _LEAVES, TURNS_SQL, _file_sql, _findings_sql, _keyword_sql, query, table, turn_payloads
 from quillgate.sources.files import shared_folder
 from quillgate.sources.html import page_elements
+from quillgate.sources.png import png_dimensions
 from quillgate.sources.snapshots import snapshot_stream
 from quillgate.streaming import attempts, changes, counters, egress, latency, snapshots, task_log
 
@@ -401,3 +404,58 @@ def page_link_fields(spark: SparkSession, d: str) -> DataFrame:
     a = page_elements(table(spark, d, "pages").select("page_id", "html")).where("element = 'field' and tag = 'a'").withColumn("at", F.monotonically_increasing_id())
     ord = F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1
     return a.select("page_id", ord.alias("ord"), "label", "href", "selector_path", "role")
+
+
+# parsers over the turns and pages ---------------------------------------------------------
+
+
+@query("perception_of_turns", """
+SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN coalesce(nullif(role, ''), 'element') ELSE 'unknown_region' END AS type, CASE WHEN turn % 4 < 2 THEN text END AS label,
+  NOT (turn % 4 < 2 AND conv_id % 2 = 0) AS sensitive, CASE WHEN turn % 4 >= 2 THEN 0.0 WHEN turn % 3 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, turn % 4 >= 2 AS failed FROM conversations""")
+def perception_of_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a perception model made of the turns: in a fence, in prose, cut off, and
+    without elements. What can't be read is one sensitive element."""
+    t = table(spark, d, "conversations")
+    one = F.struct(F.col("role").alias("type"), F.col("text").alias("label"), F.when(F.expr("conv_id % 2 = 0"), False).alias("sensitive"), F.when(F.expr("turn % 3 = 0"), 0.9).alias("confidence"))
+    whole = F.to_json(F.struct(F.array(one).alias("elements")))
+    k = F.expr("turn % 4")
+    raw = F.when(k == 0, F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```"))).when(k == 1, F.concat(F.lit("I see "), whole, F.lit(" there."))).when(k == 2, F.expr("left('{\"elements\":[{\"label\":\"cut', 25)")).otherwise('{"page":"nothing"}')
+    p = t.select("conv_id", "turn", parse_perception(raw, F.lit(100), F.lit(50)).alias("p")).select("conv_id", "turn", F.get("p.elements", F.lit(0)).alias("e"), "p.failed")
+    return p.select("conv_id", "turn", "e.type", "e.label", "e.sensitive", "e.confidence", "failed")
+
+
+@query("plans_of_turns", f"""
+SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN CAST(conv_id % 4 AS INTEGER) END AS n, CASE WHEN turn % 4 = 0 THEN conv_id % 2 = 0 END AS done,
+  CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN coalesce(text, '') = '' THEN {sql(P.PLAN_EMPTY)} ELSE {sql(P.PLAN_UNREAD)} END WHEN 2 THEN {sql(P.PLAN_EMPTY)} ELSE {sql(P.PLAN_WITHOUT_ACTIONS)} END AS error FROM conversations""")
+def plans_of_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Remote answers made of the turns: plans with some actions, prose, nothing, no actions."""
+    t, k = table(spark, d, "conversations"), F.expr("turn % 4")
+    actions = F.slice(F.array(*(F.struct(F.lit("mouse:click").alias("variant"), F.col("text").alias("content")) for _ in range(3))), F.lit(1), F.expr("cast(conv_id % 4 as int)"))
+    raw = F.when(k == 0, F.concat(F.lit("```\n"), F.to_json(F.struct(actions.alias("actions"), F.expr("conv_id % 2 = 0").alias("done"))), F.lit("\n```"))).when(k == 1, F.col("text")).when(k == 3, '{"done":false}').otherwise("")
+    return t.select("conv_id", "turn", parse_plan(raw).alias("p")).select("conv_id", "turn", F.when(F.col("p.error").isNull(), F.size("p.actions")).alias("n"), "p.done", "p.error")
+
+
+@query("png_headers_of_pages", """
+SELECT page_id, CASE WHEN page_id % 5 <> 0 AND page_id % 7 <> 0 THEN CAST(page_id * 37 % 5000 + 1 AS INTEGER) END AS width, CASE WHEN page_id % 5 <> 0 AND page_id % 7 <> 0 THEN CAST(length(url) AS INTEGER) END AS height FROM pages""")
+def png_headers_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A header for every page, its height the length of the address; some with another
+    signature, some cut off."""
+    side = lambda c: F.lpad(F.hex(c), 8, "0")
+    start = F.when(F.expr("page_id % 5 = 0"), "0000000000000000").otherwise("89504E470D0A1A0A")
+    data = F.concat(start, F.lit("0000000D49484452"), side(F.expr("page_id * 37 % 5000 + 1")), side(F.length("url")))
+    data = F.base64(F.unhex(F.when(F.expr("page_id % 7 = 0"), F.left(data, F.lit(40))).otherwise(data)))
+    url = F.when(F.expr("page_id % 2 = 0"), F.concat(F.lit("data:image/png;base64,"), data)).otherwise(data)
+    return table(spark, d, "pages").select("page_id", png_dimensions(url).alias("p")).select("page_id", "p.width", "p.height")
+
+
+_HINTS = f"list_filter([{', '.join(map(sql, P.NAME_HINTS))}], lambda x: contains(hay, x))"
+
+
+@query("classify_link_fields", f"""
+WITH {_LINKS_SQL}, g AS (SELECT page_id, ord, lower('   ' || label || ' ') AS hay FROM e)
+SELECT page_id, CAST(ord AS INTEGER) AS ord, len({_HINTS}) > 0 AS sensitive, {_HINTS}[1] AS category, array_to_string(list_transform({_HINTS}, lambda x: 'field hint "' || x || '"'), ', ') AS reasons FROM g""")
+def classify_link_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's links as form fields, classified by their labels, with the reasons."""
+    none = F.lit(None).cast("string")
+    c = classify_field(none, none, none, none, F.col("label"), none)
+    return _links(spark, d).select("page_id", "ord", c.alias("c")).select("page_id", "ord", "c.sensitive", "c.category", F.array_join("c.reasons", ", ").alias("reasons"))
