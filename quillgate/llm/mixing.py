@@ -110,7 +110,8 @@ def mix_sources(
         ["all"],
         [F.col("_id")],
     )
-    quotas = quotas.select("source", "source_size", "target", "shards", F.col("quota").alias("blocks"))
+    # a row for each source, and below one for each shard: read again, not worked out again
+    quotas = materialise(quotas.select("source", "source_size", "target", "shards", F.col("quota").alias("blocks")), "mix-quotas")
     # a shard of a source, so that no window has a whole source
     placed = sized.join(quotas.select(F.col("source").alias("s2"), "shards"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     placed = placed.withColumn("shard", number(1, 8) % F.col("shards"))
@@ -119,6 +120,7 @@ def mix_sources(
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     shards = shards.join(quotas.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     shards = shards.withColumn("_id", F.concat_ws("/", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))), F.col("shard").cast("string")))
+    shards = materialise(shards, "mix-shards")
     plan = sainte_lague(shards, "blocks", "shard_size", ["source"], [F.col("shard")])
     n = F.ceil(F.col("shard_size") / block).cast("long")
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("_id"))), 1, 8), 16, 10).cast("long")
