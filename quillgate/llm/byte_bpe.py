@@ -20,6 +20,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from quillgate.llm._words import batches
 
 #: Matches that are kept with their ids, each of so many characters at most; matches taken at once.
-CACHED, SHORT, AT_ONCE = 800_000, 32, 1 << 16
+CACHED, SHORT, AT_ONCE = 1_200_000, 32, 1 << 16
 _models: dict[tuple[str | None, str | None], "ByteBPE"] = {}
+_decoders: dict[str | None, "Decoder"] = {}
 
 
 def default_path() -> str:
@@ -50,6 +52,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in map(bytes.split, filter(bytes.strip, f))}
 
 
+def two_bytes(ranks: dict[bytes, int]) -> list[int | None]:
+    """The rank of every two bytes that are a token, by 256 * first + second."""
+    return [ranks.get(bytes((x, y))) for x in range(256) for y in range(256)]
+
+
 class RankQueue:
     """A bitmap of the ranks that hold positions: words of about as many bits as there are
     words, and above them one word with a bit for each that isn't zero. All is zero and
@@ -95,14 +102,14 @@ def later_characters() -> dict[int, str]:
 
 
 class ByteBPE:
-    """``encode(text)`` and ``decode(ids)`` by a file of ranks and a pattern."""
+    """``encode(text)`` by a file of ranks and a pattern."""
 
     def __init__(self, path: str | None = None, pattern: str | None = None):
         self.ranks = read_ranks(path or default_path())
-        self.tokens = {r: t for t, r in self.ranks.items()}
         self.pattern = regex.compile(pattern or default_pattern())
         self.later = later_characters()
-        self.queue = RankQueue(max(self.tokens, default=0) + 1)
+        self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
+        self.pairs = two_bytes(self.ranks)
         self.known = Known(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -111,59 +118,65 @@ class ByteBPE:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        log, bits, words, held, top = self.queue.log, self.queue.bits, self.queue.words, self.queue.held, 0
+        log, bits, words, held, pairs, top = self.queue.log, self.queue.bits, self.queue.words, self.queue.held, self.pairs, 0
         low, rank_of = len(bits) - 1, ranks.get
         end, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        waits = [rank_of(piece[i : i + 2]) for i in range(n)]
-        waits[-1] = None
-        new = [(r, i) for i, r in enumerate(waits) if r is not None]
-        while True:
-            for rank, i in new:  # positions start to wait
-                if rank in held:
-                    own = held[rank]
-                    if type(own) is list:
-                        heappush(own, i)
-                    else:
-                        held[rank] = [own, i] if own < i else [i, own]
+        waits = [pairs[x << 8 | y] for x, y in zip(piece, piece[1:])]
+        for i, rank in enumerate(waits):
+            if rank is None:
+                continue
+            if rank in held:
+                own = held[rank]
+                if type(own) is list:
+                    own.append(i)  # the largest so far
                 else:
-                    held[rank] = i
-                    word = rank >> log
-                    words[word] |= bits[rank & low]
-                    top |= bits[word]
-            if not top:
-                break
+                    held[rank] = [own, i]
+            else:
+                held[rank] = i
+                word = rank >> log
+                words[word] |= bits[rank & low]
+                top |= bits[word]
+        waits.append(None)
+        while top:
             # the first set bit, on both levels
             word = (top & -top).bit_length() - 1
             waiting = words[word]
             bit = (waiting & -waiting).bit_length() - 1
             rank = word << log | bit
-            i = held[rank]
-            if type(i) is list and len(i) > 1:
-                i = heappop(i)
-            else:
-                if type(i) is list:
-                    i = i[0]
+            own = held[rank]
+            several = type(own) is list
+            i = heappop(own) if several else own
+            if not (several and own):
                 del held[rank]
                 words[word] = waiting = waiting ^ bits[bit]
                 if not waiting:
                     top ^= bits[word]
-            new = []
             if waits[i] != rank:  # stale: another merge has taken one of the two
                 continue
             gone = end[i]
             stop = end[i] = end[gone]
-            waits[gone] = rank = None
+            waits[gone] = new = None
             if stop < n:
                 left[stop] = i
-                rank = rank_of(piece[i : end[stop]])
-                if rank is not None:
-                    new.append((rank, i))
-            waits[i] = rank
-            before = left[i]
-            if before >= 0:
-                rank = waits[before] = rank_of(piece[before:stop])
-                if rank is not None:
-                    new.append((rank, before))
+                new = rank_of(piece[i : end[stop]])
+            waits[i], before = new, left[i]
+            while True:  # the pair to the right, then the one to the left
+                if new is not None:
+                    if new in held:
+                        own = held[new]
+                        if type(own) is list:
+                            heappush(own, i)
+                        else:
+                            held[new] = [own, i] if own < i else [i, own]
+                    else:
+                        held[new] = i
+                        word = new >> log
+                        words[word] |= bits[new & low]
+                        top |= bits[word]
+                if before < 0:
+                    break
+                i, before = before, -1
+                new = waits[i] = rank_of(piece[i:stop])
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
@@ -186,8 +199,25 @@ class ByteBPE:
         """The ids of a whole text."""
         return np.frombuffer(b"".join(b"".join(map(self.known.__getitem__, own)) for own in self._matches(text)), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+
+class Decoder:
+    """``decode(ids)`` of a column of lists by a file of ranks."""
+
+    def __init__(self, path: str | None = None):
+        tokens = {r: t for t, r in read_ranks(path or default_path()).items()}
+        self.tokens = pa.array([tokens.get(i) for i in range(max(tokens, default=-1) + 1)], pa.large_binary())
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; null for null."""
+        at = ids.offsets.to_numpy().astype(np.int64)
+        tokens = self.tokens.take(ids.values.slice(at[0], at[-1] - at[0]))
+        if tokens.null_count:
+            raise ValueError("an id isn't in the vocabulary")
+        # the tokens stand one behind the other, so a list's are a slice of their bytes
+        ends = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
+        data = tokens.buffers()[2] if len(tokens) else pa.py_buffer(b"")
+        whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[at - at[0]].tobytes()), data])
+        return pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
 def _model(path: str | None, pattern: str | None) -> ByteBPE:
@@ -221,11 +251,12 @@ def decode_ids(encoded: DataFrame, ids_col: str = "ids", path: str | None = None
     fields = [f for f in encoded.schema.fields if f.name != ids_col]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path, None)
+        if path not in _decoders:
+            _decoders[path] = Decoder(path)
+        model = _decoders[path]
         for b in it:
-            texts = (model.decode(ids.values.to_pylist()) if ids.is_valid else None for ids in b.column(at))
             rest = [b.column(i) for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.binary())], names=[*(f.name for f in fields), "decoded"])
+            yield pa.RecordBatch.from_arrays([*rest, model.decode(b.column(at))], names=[*(f.name for f in fields), "decoded"])
 
     return encoded.mapInArrow(run, StructType([*fields, StructField("decoded", BinaryType())]))
 

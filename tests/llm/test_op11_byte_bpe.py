@@ -2,14 +2,15 @@ import hashlib
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillgate.llm.byte_bpe import ByteBPE, decode_ids, default_pattern, encode_texts, op11_byte_bpe, read_ranks
+from quillgate.llm.byte_bpe import ByteBPE, Decoder, decode_ids, default_pattern, encode_texts, op11_byte_bpe, read_ranks
 
-MODEL = ByteBPE()
+MODEL, DECODER = ByteBPE(), Decoder()
 SCHEMA = "doc_id long, text string"
 
 
@@ -34,7 +35,7 @@ def plain_merge(piece, ranks):
 @settings(max_examples=400, deadline=None)
 def test_ids_are_those_of_the_library(library, text):
     ids = MODEL.encode(text).tolist()
-    assert ids == library.encode_ordinary(text) and MODEL.decode(ids).decode() == text
+    assert ids == library.encode_ordinary(text) and DECODER.decode(pa.array([ids], pa.list_(pa.int32())))[0].as_py().decode() == text
 
 
 def test_long_matches(library):
@@ -56,10 +57,10 @@ def test_merges_are_in_the_order_of_ranks():
         tokens = list(dict.fromkeys(tokens))
         r.shuffle(tokens)
         m = ByteBPE.__new__(ByteBPE)
-        from quillgate.llm.byte_bpe import RankQueue
+        from quillgate.llm.byte_bpe import RankQueue, two_bytes
 
         m.ranks = {t: i * 7 for i, t in enumerate(tokens)}
-        m.queue = RankQueue(7 * len(tokens) + 1)
+        m.queue, m.pairs = RankQueue(7 * len(tokens) + 1), two_bytes(m.ranks)
         for _ in range(20):
             piece = b"".join(r.choice(letters) for _ in range(r.randrange(1, 30)))
             want = [m.ranks[piece]] if piece in m.ranks else plain_merge(piece, m.ranks)
@@ -101,6 +102,15 @@ def test_query(spark, tmp_path, library):
     assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
 
 
+def test_decoding_lists():
+    own = pa.array([[464], None, [], [464, 3290], [50255]], pa.list_(pa.int32()))
+    want = [b"The", None, b"", b"The dog", DECODER.tokens[50255].as_py()]
+    assert DECODER.decode(own).to_pylist() == want and DECODER.decode(own[1:]).to_pylist() == want[1:] and DECODER.decode(own[:0]).to_pylist() == []
+    for bad in (10**6, 60_000):
+        with pytest.raises((ValueError, IndexError)):
+            DECODER.decode(pa.array([[bad]], pa.list_(pa.int32())))
+
+
 def test_a_file_of_ranks(tmp_path):
     (tmp_path / "r").write_text("YQ== 0\nYg== 1\nYWI= 2\n\n")
     assert read_ranks(str(tmp_path / "r")) == {b"a": 0, b"b": 1, b"ab": 2}
