@@ -2,7 +2,7 @@
 keeps its last ones.
 
 Entries that come later than ``late`` behind the newest are dropped, so what must be known of
-ids ends with the watermark. A task's state is the list of its last ``keep`` entries by time;
+ids ends with the watermark. A task's state is an array of its last ``keep`` entries by time;
 a new entry takes the place of the oldest. A task's list goes when ``idle`` has passed since
 it was last written, or stays where ``idle`` is None.
 """
@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -20,7 +19,8 @@ from quillgate.operators.session import redact_log
 
 KEEP, LATE = 50, "1 hour"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "ts timestamp, seq long, event string, entry string"
+_TOLD = "us long, seq long, event string, entry string"
+_STATE = "entries array<struct<us:bigint,seq:bigint,event:string,entry:string>>"
 
 
 class LastEntries(StatefulProcessor):
@@ -30,16 +30,20 @@ class LastEntries(StatefulProcessor):
         self.key, self.keep, self.idle_ms = key, keep, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", _STATE, self.idle_ms)
+        self.last = handle.getValueState("last", _STATE, self.idle_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held = list(self.last.get())
-        for part in rows:
-            own = list(zip(part["ts"], part["seq"].tolist(), part["event"], part["entry"]))
-            # only ``keep`` are held, however many a batch has
-            held = sorted(held + own, key=lambda e: (pd.Timestamp(e[0]), e[1]))[-self.keep :]
-            yield pd.DataFrame({self.key: [key[0]] * len(part), "ts": part["ts"], "seq": part["seq"], "event": part["event"], "entry": part["entry"]})
-        self.last.put(held)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        # one value: a list would cost a step for each of its entries
+        held, told = [tuple(e) for e in self.last.get()[0]] if self.last.exists() else [], Row(self.key, "us", "seq", "event", "entry")
+        for r in rows:
+            yield told(*r)
+            held.append(tuple(r[1:]))
+            if len(held) >= 20 * self.keep:  # few are held, however many a batch has
+                held = self._last(held)
+        self.last.update((self._last(held),))
+
+    def _last(self, held: list[tuple]) -> list[tuple]:
+        return sorted(held, key=lambda e: (e[0], e[1]))[-self.keep :]
 
     def close(self) -> None:
         pass
@@ -50,9 +54,10 @@ def kept_log(log: DataFrame, key: str, keep: int = KEEP, late: str = LATE, idle_
     event, props as JSON text). ``entry`` is the redacted props. Of entries with one ``seq``
     the first that comes is taken; entries without a time, a key or a ``seq`` are dropped."""
     whole = log.where(f"ts is not null and seq is not null and `{key}` is not null").withWatermark("ts", late)
-    once = whole.dropDuplicatesWithinWatermark(["seq"]).select(F.col(f"`{key}`").alias(key), "ts", F.col("seq").cast("long").alias("seq"), "event", redact_log(F.col("props")).alias("entry"))
+    once = whole.dropDuplicatesWithinWatermark(["seq"]).select(F.col(f"`{key}`").alias(key), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("seq").cast("long").alias("seq"), "event", redact_log(F.col("props")).alias("entry"))
     kind = log.schema[key].dataType.simpleString()
-    return once.groupBy(key).transformWithStateInPandas(LastEntries(key, keep, idle_ms), f"`{key}` {kind}, {_STATE}", "append", "None" if idle_ms is None else "ProcessingTime")
+    told = once.groupBy(key).transformWithState(LastEntries(key, keep, idle_ms), f"`{key}` {kind}, {_TOLD}", "append", "None" if idle_ms is None else "ProcessingTime")
+    return told.select(F.col(f"`{key}`"), F.timestamp_micros("us").alias("ts"), "seq", "event", "entry")
 
 
 def append_log(log: DataFrame, key: str, path: str, checkpoint: str, keep: int = KEEP, late: str = LATE, idle_ms: int | None = None, **trigger: object) -> StreamingQuery:
@@ -74,6 +79,7 @@ def append_log(log: DataFrame, key: str, path: str, checkpoint: str, keep: int =
 def last_entries(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(key, ts, seq, event, entry): what the tasks' states hold, each entry a row."""
     state = spark.read.format("statestore").option("path", checkpoint).option("operatorId", 0).option("stateVarName", "last").load()
-    # an element that expires has its time beside it
-    expires = "ttlExpirationMs" in state.schema["list_element"].dataType.names
-    return state.select("key.*", "list_element.value.*" if expires else "list_element.*")
+    # a value that expires has its time beside it
+    expires = "ttlExpirationMs" in state.schema["value"].dataType.names
+    rows = state.select("key.*", F.explode("value.value.entries" if expires else "value.entries").alias("_e"))
+    return rows.select(F.col(f"`{rows.columns[0]}`"), F.timestamp_micros("_e.us").alias("ts"), "_e.seq", "_e.event", "_e.entry")
