@@ -29,6 +29,10 @@ class Folder:
         self.fs = self.at.getFileSystem(conf)
         self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
 
+    def make(self) -> None:
+        """Creates the folder itself, where it isn't there."""
+        self.fs.mkdirs(self.at)
+
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(self.at, name)
 
