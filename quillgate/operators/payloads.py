@@ -17,8 +17,9 @@ from quillgate.functions import leaks
 from quillgate.functions import patterns as P
 from quillgate.functions.text import empty, let
 
-#: Findings that a blocked payload is reported with; nodes of a batch of the walk.
-TOLD, BATCH = 10, 20_000
+#: Findings that a blocked payload is reported with; nodes of a batch of the walk; payloads
+#: whose nodes are Python objects at once.
+TOLD, BATCH, SOME = 10, 20_000, 256
 _NODES = "ord long, path string, key string, kind string, s string, level int"
 _LEAK = "struct<path:string,category:string,match:string,confidence:double>"
 
@@ -90,9 +91,19 @@ _NODE = pa.struct([("path", pa.string()), ("key", pa.string()), ("kind", pa.stri
 
 @F.arrow_udf(ArrayType(StructType([*(StructField(c, StringType()) for c in ("path", "key", "kind", "s")), StructField("level", IntegerType())])))
 def payload_nodes(payload: pa.Array) -> pa.Array:
-    """The nodes of a payload in order; none for null."""
-    own = [[dict(zip(("path", "key", "kind", "s", "level"), map(_safe, n))) for n in nodes_of(text)] for text in payload.to_pylist()]
-    return pa.array(own, pa.list_(_NODE))
+    """The nodes of a payload in order; none for null. Few are held as Python objects at once,
+    however many a batch has."""
+    parts = []
+    for at in range(0, len(payload), SOME):
+        columns, ends = [[] for _ in _NODE], [0]
+        for text in payload.slice(at, SOME).to_pylist():
+            for n in nodes_of(text):
+                for c, v in zip(columns, n):
+                    c.append(_safe(v))
+            ends.append(len(columns[0]))
+        nodes = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NODE)], fields=list(_NODE))
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(_NODE))
 
 
 def node_leaks(node: Column, depth: int | None = None) -> Column:

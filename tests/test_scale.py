@@ -1,8 +1,13 @@
 """What must not grow with the tables: tasks that read all, calls and timers for each row."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillgate.functions import text
+from quillgate.operators import payloads
 from quillgate.plans import streams
+from quillgate.sources import html
+from quillgate.sources.html import page_elements
 from quillgate.streaming.attempts import Attempts
 from quillgate.streaming.task_log import LastEntries
 
@@ -70,3 +75,25 @@ def test_the_log_of_a_task_is_written_once_a_batch():
         assert [tuple(r) for r in log.handleInputRows(("x",), iter(rows), None)] == rows
     assert log.last.writes == 2
     assert [e[0] for e in log.last.value[0]] == [897, 898, 899]
+
+
+def test_few_payloads_are_python_objects_at_once(monkeypatch):
+    monkeypatch.setattr(payloads, "SOME", 3)
+    texts = [None if i % 5 == 0 else '{"a":[%d,"x"],"a":{}}' % i if i % 2 else f"plain {i}" for i in range(20)]
+    got = payloads.payload_nodes.func(pa.array(texts, pa.string())).to_pylist()
+    names = ("path", "key", "kind", "s", "level")
+    assert got == [[dict(zip(names, n)) for n in payloads.nodes_of(t)] for t in texts]
+    assert payloads.payload_nodes.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_elements_leave_in_small_batches(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"<a href='/{i}'>{i}</a>" * (i % 3)) for i in range(10)], "page_id long, html string").coalesce(1)
+    whole = sorted(page_elements(pages).collect())
+    monkeypatch.setattr(html, "SOME", 3)
+    assert sorted(page_elements(pages).collect()) == whole and len(whole) == 9
+
+
+def test_texts_without_a_match_are_not_cut(spark):
+    t = spark.createDataFrame([(1, "a1b22"), (2, "none"), (3, "")], "id int, t string")
+    got = {r.id: [tuple(x) for x in r.s] for r in t.select("id", text.spans(F.col("t"), "[0-9]+").alias("s")).collect()}
+    assert got == {1: [("1", 1), ("22", 3)], 2: [], 3: []}
