@@ -26,8 +26,9 @@ def spans(text: Column, pattern: str) -> Column:
     """array<struct<match, start>> of all matches from left to right. A start is the length
     of everything before: the gaps up to it and the matches before it."""
     length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
-    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    return let(cut, lambda c: F.transform(c["m"], lambda x, i: F.struct(x.alias("match"), (length(F.slice(c["g"], F.lit(1), i + 1)) + length(F.slice(c["m"], F.lit(1), i))).alias("start"))))
+    # texts are cut into gaps only where there is a match
+    cut = lambda m: let(F.struct(m.alias("m"), F.split(text, pattern, -1).alias("g")), lambda c: F.transform(c["m"], lambda x, i: F.struct(x.alias("match"), (length(F.slice(c["g"], F.lit(1), i + 1)) + length(F.slice(c["m"], F.lit(1), i))).alias("start"))))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, cut(m)).otherwise(empty("struct<match:string,start:int>")))
 
 
 def near(text: Column, start: Column, words: list[str]) -> Column:
